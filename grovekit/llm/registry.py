@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import bpe, exact_dedup, sharding, token_counts
+from grovekit.llm import bpe, exact_dedup, sharding, simhash, syncmers, token_counts
 from grovekit.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,17 +22,26 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edits(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_bpe, op7_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_bpe, op6_simhash, op7_exact_dedup, op9_syncmers, op10_token_counts)}
 
 ORACLES = {
     # A to Z only: Spark and DuckDB agree on translate, not on lower.
