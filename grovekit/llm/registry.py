@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import bpe, exact_dedup, sharding, simhash, syncmers, token_counts
+from grovekit.llm import bpe, exact_dedup, html_text, quality, sharding, simhash, syncmers, token_counts
 from grovekit.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -22,6 +22,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, digests=True)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,6 +36,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_with_edits(documents(spark, sf_dir))
 
@@ -41,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_bpe, op6_simhash, op7_exact_dedup, op9_syncmers, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op4_bpe, op5_html, op6_simhash, op7_exact_dedup, op8_quality, op9_syncmers, op10_token_counts)}
 
 ORACLES = {
     # A to Z only: Spark and DuckDB agree on translate, not on lower.
