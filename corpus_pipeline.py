@@ -1,18 +1,64 @@
-"""The corpus pipeline: its stages, in order, each over all that the one before it kept."""
+"""The corpus pipeline: its stages, in order, each over all that the one before it kept.
+
+All stages but the last return the columns of their input. The last returns
+each document that is left with its token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grovekit.llm import bpe, linededup, mixing, quality, simhash
+from grovekit.storage import materialize
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled ones speak for."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line equals or nearly equals."""
+    out = linededup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A draw with the sources, languages and topics at their target weights."""
+    return mixing.mixture(docs)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the whole texts, with their decoded length as a check."""
+    out = bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.octet_length("decoded").cast("long").alias("n_bytes"), "ids")
 
-import grovekit.llm  # noqa: F401
 
-STAGES: list = []
+STAGES = [
+    ("quality", good_quality),
+    ("lines", unique_lines),
+    ("near duplicates", near_unique),
+    ("mixture", mixed),
+    ("tokens", tokenized),
+]
+#: The stages' models and samplers are beyond SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
+    """The stages applied to ``documents``, each written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, "stage")
     return docs

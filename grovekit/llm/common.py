@@ -54,3 +54,12 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
             held += n or 0
         if done < batch.num_rows:
             yield batch.slice(done)
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """All columns under neutral names (``c0``, ``c1`` ...), so that what an operator adds can't clash."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)])
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(like.columns)])

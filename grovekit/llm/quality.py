@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import pieces
+from grovekit.llm.common import carried, pieces, restored
 
 #: At most so many labelled rows are learnt from, chosen by a hash of the id.
 SAMPLE_ROWS = 4096
@@ -127,33 +127,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> S
     return Space([dict(zip(map(bytes, r.term), r.share, strict=True)) for r in rows], known)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's quality: doc_id, score, predicted, and ``columns`` of ``docs`` as they are.
+def _scores(own: Space | float, texts: list[str | None]) -> np.ndarray:
+    return own.score([terms(t) for t in texts]) if isinstance(own, Space) else np.full(len(texts), own)
+
+
+def _space(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, text_col: str):
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return source, docs.sparkSession.sparkContext.broadcast(fit(source, labels.select("doc_id", "quality"), sample_rows))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row's quality: doc_id, score, predicted.
 
     The score comes from the whole text alone; a null text is an empty one,
     whose only term is its length. Without labels of both kinds every score is
     the share of label 1, or 0.5 without any.
     """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    space = fit(source, labels, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(space)
+    source, shared = _space(docs, labels, sample_rows, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                score = _scores(shared.value, part["text"].to_pylist())
+                yield pa.record_batch({"doc_id": part["doc_id"], "score": pa.array(score, pa.float64()), "predicted": pa.array(score >= 0.5).cast(pa.int32())})
+
+    return source.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``score_documents`` predicts to be good, with all their columns."""
+    _, shared = _space(docs, labels, sample_rows, id_col, text_col)
+    given, name = carried(docs), f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for b in pieces(batches, "__text"):
+        for b in pieces(batches, name):
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                texts = part["__text"].to_pylist()
-                score = own.score([terms(t) for t in texts]) if isinstance(own, Space) else np.full(len(texts), own)
-                kept = {c: part[c] for c in part.schema.names if c != "__text"}
-                yield pa.record_batch({**kept, "__score": pa.array(score, pa.float64())})
-
-    from pyspark.sql.types import DoubleType, StructType
-
-    named = {f"__{i}": c for i, c in enumerate(columns)}
-    given = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), *[F.col(f"`{c}`").alias(k) for k, c in named.items()], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = StructType([f for f in given.schema.fields if f.name != "__text"]).add("__score", DoubleType())
-    scored = given.mapInArrow(run, schema)
-    return scored.select(
-        F.col("__id").alias("doc_id"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"), *[F.col(k).alias(c) for k, c in named.items()]
-    )
+                yield part.filter(pa.array(_scores(shared.value, part[name].to_pylist()) >= 0.5))
+
+    return restored(given.mapInArrow(run, given.schema), docs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovekit.llm import bpe, exact_dedup, html_text, quality, sharding, simhash, syncmers, token_counts
+from grovekit.llm import bpe, exact_dedup, html_text, linededup, mixing, quality, sharding, simhash, syncmers, token_counts
 from grovekit.llm.common import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +16,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(documents(spark, sf_dir))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op4_bpe, op5_html, op6_simhash, op7_exact_dedup, op8_quality, op9_syncmers, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_lines, op4_bpe, op5_html, op6_simhash, op7_exact_dedup, op8_quality, op9_syncmers, op10_token_counts)}
 
 ORACLES = {
     # A to Z only: Spark and DuckDB agree on translate, not on lower.

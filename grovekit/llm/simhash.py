@@ -150,3 +150,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
     table = points.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
     table = materialize(table.select("fp", "n", F.coalesce("c", "rep").alias("component_id")), "components")
     return lookup(rows, table, "fp", "n").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id. Rows without id stay."""
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
+    own = F.col(f"`{id_col}`")
+    with_id = docs.where(own.isNotNull())
+    return with_id.join(kept, with_id[f"`{id_col}`"] == kept["__kept_id"], "left_semi").unionByName(docs.where(own.isNull()))
