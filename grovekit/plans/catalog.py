@@ -1,4 +1,486 @@
 """Every registered graph query and its DuckDB oracle."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grovekit.functions import runs as R
+from grovekit.functions import scalars as S
+from grovekit.graph import Graph, encoded_key, lightest, normalized_ends, packed_key, ranked, unknown_ends, unpacked_id, violations
+from grovekit.operators import report, rounds
+from grovekit.operators.forest import component_trace, components, minimum_spanning_forest
+from grovekit.operators.verify import left_out, membership, totals, verify
+from grovekit.plans import oracles as O
+from grovekit.sources import graphs as G
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+UVW = ("u", "v", "w")
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def _graph(spark: SparkSession, sf_dir: str, name: str) -> Graph:
+    if name in G.LITERAL or name == "dense16":
+        return G.load(spark, name)
+    return G.geography(spark, sf_dir) if name == "geo" else G.supply(spark, sf_dir, name)
+
+
+# Forests.
+
+
+def _forest(name: str, kind: str, strategy: str = "boruvka", tail: int | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        more = {} if tail is None else {"tail_edges": tail}
+        return minimum_spanning_forest(_graph(spark, sf_dir, kind), strategy, **more).edges.select(*UVW)
+
+    query(O.forest(kind, "SELECT u, v, w FROM msf"), name)(run)
+
+
+_forest("msf_edges", "supply")
+_forest("msf_forest", "supply_mod3")
+_forest("msf_price", "supply_price")
+_forest("msf_geo", "geo")
+_forest("msf_rounds_only", "supply", tail=0)
+_forest("kruskal_edges", "supply_price", "kruskal")
+_forest("filter_edges", "supply_price", "filter")
+
+
+def _named(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return minimum_spanning_forest(G.load(spark, name), tail_edges=0).edges.select("eid", *UVW)
+
+    query(O.forest(name, "SELECT eid, u, v, w FROM msf"), f"msf_named_{name}")(run)
+
+
+for _name in (*G.LITERAL, "dense16"):
+    _named(_name)
+
+
+@query(
+    O.forest(
+        "supply_mod3",
+        """SELECT (SELECT count(*) FROM vs) AS vertex_count, (SELECT count(*) FROM e) AS input_edge_count, count(*) AS selected_edge_count,
+        (SELECT count(DISTINCT c) FROM last) AS component_count, CAST(sum(w) AS BIGINT) AS total_weight FROM msf""",
+    )
+)
+def msf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3"))
+    s = report.summary(forest)
+    return s.select("vertex_count", "input_edge_count", "selected_edge_count", (F.col("vertex_count") - F.col("selected_edge_count")).alias("component_count"), "total_weight")
+
+
+@query(O.forest("supply", "SELECT true AS success, CAST(sum(w) AS BIGINT) AS expected_total_weight, CAST(sum(w) AS BIGINT) AS actual_total_weight, count(*) AS expected_edge_count, count(*) AS actual_edge_count FROM msf"))
+def verify_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir, "supply")
+    return verify(graph, minimum_spanning_forest(graph).edges)
+
+
+@query(O.forest("supply", "SELECT k IN (SELECT k FROM msf) AS is_msf, u, v, w FROM e"))
+def msf_membership_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir, "supply")
+    return membership(graph, minimum_spanning_forest(graph)).select("is_msf", *UVW)
+
+
+@query(O.forest("supply", "SELECT u, v, w FROM e WHERE k NOT IN (SELECT k FROM msf)"))
+def non_msf_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir, "supply")
+    return left_out(graph, minimum_spanning_forest(graph)).select(*UVW)
+
+
+@query(O.forest("supply_mod3", "SELECT CAST(sum(w) AS BIGINT) AS weight, count(*) AS n FROM msf"))
+def total_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals(minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3")).edges)
+
+
+@query()
+def round_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components before the first round and after each; rounds that pick none don't count."""
+    trace = component_trace(minimum_spanning_forest(_graph(spark, sf_dir, "supply"), tail_edges=0))
+    return spark.createDataFrame(list(enumerate(trace)), "round int, components long")
+
+
+TRACE = "SELECT CAST(round AS INTEGER) AS round, CAST(components AS BIGINT) AS components FROM (VALUES (0, 12), (1, 4), (2, 1)) t(round, components)"
+
+
+@query(TRACE)
+def round_trace_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trace = component_trace(minimum_spanning_forest(G.load(spark, "test"), tail_edges=0))
+    return spark.createDataFrame(list(enumerate(trace)), "round int, components long")
+
+
+# Components.
+
+
+@query(O.forest("supply_mod3", "SELECT v, c FROM last"), "components")
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_graph(spark, sf_dir, "supply_mod3"))
+
+
+@query(O.forest("supply_mod3", "SELECT v, c FROM last"))
+def components_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_graph(spark, sf_dir, "supply_mod3"), tail_edges=0)
+
+
+@query(O.forest("supply_mod3", "SELECT v, c FROM last"))
+def components_of_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3")).components()
+
+
+@query(O.forest("supply_mod3", "SELECT c, count(*) AS size FROM last GROUP BY c"))
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_graph(spark, sf_dir, "supply_mod3")).groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(O.forest("supply_mod3", "SELECT count(DISTINCT c) AS n FROM last"))
+def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(_graph(spark, sf_dir, "supply_mod3")).agg(F.countDistinct("c").alias("n"))
+
+
+# The steps of a round, each on the first round of the supply graph.
+
+
+def _first(spark: SparkSession, sf_dir: str, name: str = "supply") -> tuple[DataFrame, DataFrame]:
+    edges = ranked(_graph(spark, sf_dir, name).without_loops().edges)
+    return edges, rounds.external(rounds.labelled(edges, rounds.identity(Graph.from_edges(edges).vertex_ids())))
+
+
+@query(O.first_round("supply", "SELECT best.c, e.u, e.v, e.w FROM best JOIN e USING (k)"))
+def round1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, work = _first(spark, sf_dir)
+    return rounds.candidates(work).join(edges, "k").select("c", *UVW)
+
+
+@query(O.first_round("supply", "SELECT u, v, w FROM e JOIN (SELECT DISTINCT k FROM best) USING (k)"))
+def round1_chosen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, work = _first(spark, sf_dir)
+    return rounds.chosen(rounds.candidates(work)).join(edges, "k").select(*UVW)
+
+
+@query(O.first_round("supply", "SELECT c, p FROM succ"))
+def round1_successor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, work = _first(spark, sf_dir)
+    return rounds.successors(rounds.candidates(work), work)
+
+
+@query(O.first_round("supply", "SELECT a.c, a.p FROM succ a JOIN succ b ON a.p = b.c WHERE b.p = a.c AND a.c < a.p"))
+def round1_mutual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, work = _first(spark, sf_dir)
+    return rounds.mutual(rounds.successors(rounds.candidates(work), work))
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, work = _first(spark, sf_dir)
+    return rounds.broken(rounds.successors(rounds.candidates(work), work))
+
+
+@query(O.first_round("supply", "SELECT v, c FROM parent"))
+def round1_cycles_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(spark, sf_dir)
+
+
+@query(O.first_round("supply", "SELECT a.v, b.c FROM parent a JOIN parent b ON a.c = b.v"))
+def pointer_jump_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.jump(_parents(spark, sf_dir))
+
+
+@query(O.first_round("supply", "SELECT vs.v, coalesce(parent.c, vs.v) AS c FROM vs LEFT JOIN parent ON parent.v = vs.v"))
+def relabel_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.moved(rounds.identity(_graph(spark, sf_dir, "supply").vertex_ids()), _parents(spark, sf_dir))
+
+
+@query(O.first_round("supply", "SELECT v FROM parent WHERE v = c"))
+def component_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.roots(_parents(spark, sf_dir))
+
+
+CONTRACT = """, m AS (SELECT least(a.c, b.c) AS cu, greatest(a.c, b.c) AS cv, e.k FROM e JOIN parent a ON a.v = e.u JOIN parent b ON b.v = e.v WHERE a.c <> b.c)
+    SELECT cu, cv, e.u, e.v, e.w FROM (SELECT cu, cv, min(k) AS k FROM m GROUP BY ALL) JOIN e USING (k)"""
+
+
+@query(O.first_round("supply", CONTRACT))
+def contract_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, work = _first(spark, sf_dir)
+    parent = rounds.broken(rounds.successors(rounds.candidates(work), work))
+    return rounds.contracted(work, parent).join(edges, "k").select("cu", "cv", *UVW)
+
+
+@query(O.first_round("supply", "SELECT EXISTS (SELECT 1 FROM parent a JOIN parent b ON a.c = b.v WHERE b.c <> b.v) AS changed"))
+def any_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _parents(spark, sf_dir)
+    b = a.select(F.col("v").alias("c"), F.col("c").alias("top"))
+    return a.join(b, "c").agg(F.coalesce(F.bool_or(F.col("top") != F.col("c")), F.lit(False)).alias("changed"))
+
+
+@query(O.first_round("supply", "SELECT (SELECT count(*) FROM offers) AS offers, count(*) AS components, (SELECT count(*) FROM offers) - count(*) AS beaten FROM best"))
+def offer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers that were beaten: what the collision counter of an atomic minimum has as its counterpart."""
+    _, work = _first(spark, sf_dir)
+    per = rounds.offers(work).groupBy("c").count()
+    return per.agg(F.sum("count").alias("offers"), F.count(F.lit(1)).alias("components"), (F.sum("count") - F.count(F.lit(1))).alias("beaten"))
+
+
+@query(f"WITH {O.edges('supply_price')} SELECT u, arg_min(v, k) AS v, min(w) AS w FROM e GROUP BY u")
+def candidate_struct_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lightest edge of each end by a struct, for weights without a rank."""
+    return lightest(_graph(spark, sf_dir, "supply_price").edges, "u").select("u", "v", "w")
+
+
+@query(f"WITH {O.edges('supply')} SELECT u, v, w, row_number() OVER (PARTITION BY u ORDER BY w, v) AS place FROM e")
+def tie_break_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("u").orderBy("w", "eid")).cast("long")
+    return _graph(spark, sf_dir, "supply").edges.select(*UVW, place.alias("place"))
+
+
+# Keys, ends and checks.
+
+NATION = "SELECT CAST(s_nationkey AS BIGINT) AS u, CAST(c_nationkey AS BIGINT) AS v, CAST(s_suppkey AS BIGINT) AS w, CAST(s_suppkey AS BIGINT) * 4294967296 + c_custkey AS eid FROM supplier JOIN customer ON s_suppkey = c_custkey"
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a supplier and a customer with the same key: with loops and parallel edges."""
+    s, c = (G.table(spark, sf_dir, t) for t in ("supplier", "customer"))
+    key = F.col("s_suppkey").cast("long")
+    return s.join(c, F.col("s_suppkey") == F.col("c_custkey")).select(
+        F.shiftleft(key, 32).bitwiseOR(F.col("c_custkey").cast("long")).alias("eid"), F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v"), key.alias("w")
+    )
+
+
+@query(f"WITH {O.edges('supply')} SELECT u, v, w * 4294967296 + u AS k FROM e")
+def packed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir, "supply").edges.select("u", "v", packed_key("w", "u").alias("k"))
+
+
+@query(f"WITH {O.edges('supply')} SELECT u, v, u AS id FROM e")
+def unpacked_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir, "supply").edges.withColumn("k", packed_key("w", "u")).select("u", "v", unpacked_id().alias("id"))
+
+
+@query(f"SELECT u, v, w FROM ({NATION}) WHERE u <> v")
+def self_loop_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(_nations(spark, sf_dir)).without_loops().edges.select(*UVW)
+
+
+@query(f"SELECT least(u, v) AS u, greatest(u, v) AS v, min(w) AS w FROM ({NATION}) WHERE u <> v GROUP BY ALL")
+def dedup_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Graph.from_edges(_nations(spark, sf_dir)).simple().edges.select(*UVW)
+
+
+@query(f"SELECT least(u, v) AS u, greatest(u, v) AS v, w FROM ({NATION})")
+def normalized_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir).select(*normalized_ends(), "w")
+
+
+@query(f"SELECT least(u, v) * 4294967296 + greatest(u, v) AS k, w FROM ({NATION})")
+def encoded_edge_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations(spark, sf_dir).select(encoded_key().alias("k"), "w")
+
+
+@query(f"SELECT DISTINCT eid, v FROM (SELECT eid, u AS v FROM ({NATION}) UNION ALL SELECT eid, v FROM ({NATION})) WHERE v NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2)")
+def invalid_vertex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = G.table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").cast("long").alias("v"))
+    return unknown_ends(Graph.from_edges(_nations(spark, sf_dir), known))
+
+
+@query(
+    f"""SELECT reason, count(*) AS n FROM (SELECT eid, 'unknown end' AS reason FROM (SELECT DISTINCT eid, v FROM (SELECT eid, u AS v FROM ({NATION}) UNION ALL SELECT eid, v FROM ({NATION}))
+    WHERE v NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2))) GROUP BY reason"""
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = G.table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").cast("long").alias("v"))
+    return violations(Graph.from_edges(_nations(spark, sf_dir), known)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {O.edges('supply')}, {O.VERTICES} SELECT (SELECT count(*) FROM vs) AS vertices, count(*) AS edges, min(w) AS least, max(w) AS most, round(count(*) / (SELECT count(*) FROM vs), 4) AS density FROM e")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = _graph(spark, sf_dir, "supply")
+    n = graph.vertex_ids().agg(F.count(F.lit(1)).alias("vertices"))
+    e = graph.edges.agg(F.count(F.lit(1)).alias("edges"), F.min("w").alias("least"), F.max("w").alias("most"))
+    return n.crossJoin(e).withColumn("density", S.density(F.col("edges"), F.col("vertices")))
+
+
+@query(O.forest("supply_mod3", "SELECT least(u, v) || ' - ' || greatest(u, v) || ' : ' || w AS line FROM msf"))
+def edges_sorted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.edge_lines(minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3"))).orderBy("a", "b", "w").select("line")
+
+
+@query(f"SELECT u, v, w, 'tree' AS part FROM ({O.GEO}) UNION ALL SELECT u, v, w, 'extra' FROM ({O.SUPPLY['supply']})")
+def tree_union_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree, extra = _graph(spark, sf_dir, "geo").edges, _graph(spark, sf_dir, "supply").edges
+    return tree.select(*UVW, F.lit("tree").alias("part")).unionByName(extra.select(*UVW, F.lit("extra").alias("part")))
+
+
+@query("SELECT CAST(a.n_nationkey AS BIGINT) AS u, CAST(b.n_nationkey AS BIGINT) AS v FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+def all_pairs_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of vertices, as the layout of small graphs needs them; 128 vertices at most."""
+    v = G.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("v"))
+    return v.select(F.col("v").alias("u")).join(F.broadcast(v), F.col("u") < F.col("v"))
+
+
+@query("SELECT min(s_acctbal) AS min_x, max(s_acctbal) AS max_x, CAST(min(s_nationkey) AS BIGINT) AS min_y, CAST(max(s_nationkey) AS BIGINT) AS max_y FROM supplier")
+def bbox_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.col("s_nationkey").cast("long")
+    return G.table(spark, sf_dir, "supplier").agg(F.min("s_acctbal").alias("min_x"), F.max("s_acctbal").alias("max_x"), F.min(y).alias("min_y"), F.max(y).alias("max_y"))
+
+
+@query(f"WITH {O.edges('supply')} SELECT u, v, (31 * least(u, v) + greatest(u, v)) % 5 AS colour FROM e")
+def edge_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir, "supply").edges.select("u", "v", S.palette(F.col("u"), F.col("v")).alias("colour"))
+
+
+@query("SELECT l_linestatus AS phase, max(l_quantity) AS most, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL")
+def phase_max_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("phase")).agg(F.max("l_quantity").alias("most"), F.round(F.avg("l_quantity"), 6).alias("mean"))
+
+
+@query("SELECT l_returnflag AS backend, bool_and(l_discount <= 0.1) AS verified FROM lineitem GROUP BY ALL")
+def all_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("backend")).agg(F.bool_and(F.col("l_discount") <= 0.1).alias("verified"))
+
+
+# Benchmark analysis, over runs derived from the supplier table.
+
+RUNS_SQL = """r AS (SELECT backend, 32768 AS vertices, 32768 * d AS edges, CAST(d AS DOUBLE) AS density, CASE backend WHEN 'sequential' THEN 1 ELSE 8 END AS resources,
+    0.01 * d AS overhead_seconds, 0.02 * d / CASE backend WHEN 'sequential' THEN 1 WHEN 'mpi' THEN 3 WHEN 'openmp' THEN 0.5 ELSE 20 END + 0.001 AS exec_seconds
+    FROM (VALUES ('sequential'), ('openmp'), ('mpi'), ('cuda')) b(backend), (VALUES (1), (2), (4), (6), (12), (24), (48), (96), (192), (384)) t(d))"""
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    d, b = F.col("d"), F.col("backend")
+    by = spark.createDataFrame([(x, y) for x in S.LABELS for y in (1, 2, 4, 6, 12, 24, 48, 96, 192, 384)], "backend string, d int")
+    factor = F.when(b == "sequential", 1.0).when(b == "mpi", 3.0).when(b == "openmp", 0.5).otherwise(20.0)
+    out = by.select(b, F.lit(32768).alias("vertices"), (d * 32768).alias("edges"), d.cast("double").alias("density"), F.lit(886261).alias("seed"), F.when(b == "sequential", 1).otherwise(8).alias("resources"), (d * 0.01).alias("overhead_seconds"), (d * 0.02 / factor + 0.001).alias("exec_seconds"))
+    return out.withColumn("total_seconds", F.col("overhead_seconds") + F.col("exec_seconds")).withColumn("verified", F.lit("MATCH"))
+
+
+THEORY = """CASE backend WHEN 'mpi' THEN (edges + vertices) / (edges / 8.0 + vertices * 3.0) WHEN 'openmp' THEN (edges + vertices) / (edges / 8.0 + vertices)
+    WHEN 'cuda' THEN 142 * (density + 1) / (density + 15.0) ELSE 1.0 END"""
+
+
+@query(f"WITH {RUNS_SQL} SELECT backend, edges, CAST(round({THEORY}, 4) AS DOUBLE) AS speedup, CAST(round({THEORY} / CASE backend WHEN 'cuda' THEN 142.0 ELSE resources END, 4) AS DOUBLE) AS efficiency FROM r")
+def bench_theory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.theory(_runs(spark)).select("backend", "edges", "speedup", "efficiency")
+
+
+@query("SELECT backend, CAST(threshold AS DOUBLE) AS threshold FROM (VALUES ('mpi', 24.0), ('openmp', 8.0), ('cuda', 15.0)) t(backend, threshold)")
+def bench_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.thresholds(_runs(spark))
+
+
+@query(
+    f"""WITH {RUNS_SQL} SELECT r.backend, r.edges, CAST(round(b.exec_seconds / r.exec_seconds, 4) AS DOUBLE) AS speedup,
+    CAST(round(b.exec_seconds / r.exec_seconds / CASE r.backend WHEN 'cuda' THEN 142.0 ELSE r.resources END, 4) AS DOUBLE) AS efficiency
+    FROM r JOIN r b ON b.edges = r.edges AND b.backend = 'sequential' WHERE r.backend <> 'sequential'"""
+)
+def bench_measured_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.measured(_runs(spark))
+
+
+_cell = "CAST(round(max(overhead_seconds + exec_seconds) FILTER (WHERE backend = '{0}'), 6) AS DOUBLE) AS {0}"
+
+
+@query(f"WITH {RUNS_SQL} SELECT density, {', '.join(_cell.format(b) for b in S.LABELS)} FROM r GROUP BY density")
+def bench_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.by_density(_runs(spark)).select("density", *[F.round(b, 6).alias(b) for b in S.LABELS])
+
+
+@query(f"WITH {RUNS_SQL} SELECT backend, edges, CAST(round(overhead_seconds / (overhead_seconds + exec_seconds), 4) AS DOUBLE) AS share FROM r")
+def bench_overhead_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.overhead_share(_runs(spark))
+
+
+@query(f"WITH {RUNS_SQL} SELECT backend, edges, density FROM r WHERE density = 6")
+def bench_reference_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reference_slice(_runs(spark)).select("backend", "edges", "density")
+
+
+@query(f"WITH {RUNS_SQL} SELECT backend, edges, density FROM r WHERE backend = 'mpi' AND density = 24")
+def bench_run_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.run_at(_runs(spark), "mpi", 24.0).select("backend", "edges", "density")
+
+
+@query(
+    """SELECT backend, label, worker, took, share, times FROM (VALUES ('sequential', 'Sequential', 'core', '250.0 us', '12.5%', '1.50x'),
+    ('openmp', 'OpenMP', 'threads', '2.5 ms', '25.0%', '3.00x'), ('mpi', 'MPI', 'ranks', '500.0 ms', '50.0%', '6.00x'), ('cuda', 'CUDA', 'SM', '2.5 s', '75.0%', '9.00x')) t(backend, label, worker, took, share, times)"""
+)
+def bench_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("sequential", 0.00025, 0.125, 1.5), ("openmp", 0.0025, 0.25, 3.0), ("mpi", 0.5, 0.5, 6.0), ("cuda", 2.5, 0.75, 9.0)], "backend string, s double, p double, x double")
+    b = F.col("backend")
+    return rows.select(b, S.backend_label(b).alias("label"), S.worker_unit(b).alias("worker"), S.duration(F.col("s")).alias("took"), S.percent(F.col("p")).alias("share"), S.ratio(F.col("x")).alias("times"))
+
+
+# Text functions, over lines made from orders.
+
+
+@query("SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS edges FROM orders")
+def parse_metrics_regexp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("backend=mpi edges="), "o_custkey", F.lit(" exec_seconds=0.5"))
+    return G.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.metric(line, "edges").alias("edges"))
+
+
+@query("SELECT r_regionkey AS id, n FROM region, (VALUES ('1'), ('2'), ('4'), ('384')) t(n)", "split_list")
+def _split_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.explode(S.split_list(F.lit("1,2,4,384"))).alias("n"))
+
+
+@query("SELECT s, CAST(n AS BIGINT) AS n FROM (VALUES ('12', 12), ('-7', -7), ('1x', NULL), ('', NULL), (' 3', NULL), ('4.0', NULL)) t(s, n)")
+def try_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("12", "-7", "1x", "", " 3", "4.0")], "s string")
+    return rows.select("s", S.strict_int(F.col("s")).alias("n"))
+
+
+@query("SELECT s_suppkey AS id, true AS near, round(s_acctbal * 1000, 2) AS ms FROM supplier")
+def tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("s_acctbal")
+    return G.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.near(x * (1 + 1e-9), x, 1e-6).alias("near"), F.round(S.milliseconds(x), 2).alias("ms"))
+
+
+# Reports, generators and files: rows that SQL can't give.
+
+
+@query()
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = G.load(spark, "test")
+    forest = minimum_spanning_forest(graph)
+    return report.json_report(forest, verify(graph, forest.edges), "test", {"exec": 0.0})
+
+
+@query()
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.text_summary(minimum_spanning_forest(G.load(spark, "test")))
+
+
+def _generated(name: str, make: Callable[[SparkSession], Graph]) -> None:
+    query(None, name)(lambda spark, sf_dir: make(spark).edges)
+
+
+_generated("gen_random_int", lambda spark: G.random_connected(spark, 2000, 12000, 886261))
+_generated("gen_random_double", lambda spark: G.random_connected(spark, 2000, 12000, 886261, "uniform_int", permute=False))
+_generated("gen_random_float", lambda spark: G.random_connected(spark, 2000, 12000, 886261, "unit_float"))
+_generated("gen_random_simple", lambda spark: G.load(spark, "random"))
+
+
+@query()
+def read_text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written as text and read back."""
+    import uuid
+
+    from grovekit.storage import work_dir
+
+    path = f"{work_dir(spark)}/grovekit/graph-{uuid.uuid4().hex}.txt"
+    G.write_text(G.load(spark, "dense16"), path)
+    return G.read_text(spark, path).edges
