@@ -1,0 +1,192 @@
+"""Operators that give each row a result of its own: sharding, BPE, token counts, syncmers."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import regex
+import tiktoken
+
+from grovekit.llm import bpe, sharding, syncmers, token_counts
+
+from .conftest import odd_rows, prose
+
+PATH = P.path("byte_bpe_multi_50k.tiktoken")
+
+
+def strange_texts():
+    rnd = random.Random(4)
+    letters = [chr(c) for c in range(0x20, 0x250)] + list("\t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　​'s'll  \n\n漢字かな한अ٣½🙂é")
+    out = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 120))) for _ in range(300)]
+    return out + ["a" * n for n in range(40)] + ["ab" * 50, "  \n  x\n\n y ", "<|endoftext|>"]
+
+
+def test_shards_balance_and_slots_are_gapless(spark, odd):
+    rows = sharding.shard_documents(odd, 4).collect()
+    assert len(rows) == odd.count()
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(by.get(s, [])) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 1
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+    expected = sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in odd_rows())
+    assert sorted((r.size, r.text_crc32) for r in rows) == expected
+    again = sharding.shard_documents(odd.repartition(5), 4).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, rows))
+
+
+def test_no_rows_to_shard(none):
+    assert sharding.shard_documents(none, 16).count() == 0
+
+
+def test_one_more_shard_moves_few():
+    counts = {p: 3 for p in range(0, 1 << 16, 7)}
+
+    def owners(n):
+        return {(p, k): s for p, a, b, s, _ in sharding.walk(counts, n) for k in range(a, b)}
+
+    old, new = owners(16), owners(17)
+    assert len(old) == len(new) == sum(counts.values())
+    assert sum(old[k] != new[k] for k in old) < 0.25 * len(old)
+
+
+def test_slack_bounds_the_loads():
+    counts = {p: 1 + p % 3 for p in range(0, 1 << 16, 5)}
+    load = [0] * 8
+    for _, a, b, s, first in sharding.walk(counts, 8, slack=0.05):
+        assert first == load[s]
+        load[s] += b - a
+    assert sum(load) == sum(counts.values()) and max(load) <= 1.06 * sum(load) / 8 + 2
+
+
+def test_bpe_equals_the_library():
+    ranks = bpe.read_ranks(PATH)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = bpe.Codec(ranks, P.PATTERN)
+    texts = strange_texts()
+    ids = own.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode_ordinary(t) for t in texts]
+    assert [own.decode(x) for x in ids] == [t.encode() for t in texts]
+
+
+def test_a_lower_rank_that_arises_goes_first():
+    """Ranks that no training gives: joined pairs with lower ranks than their parts'."""
+    ranks = {bytes([b]): b + 100 for b in range(256)} | {b"ab": 50, b"abc": 7, b"bc": 60, b"abcab": 3, b"cc": 55, b"aa": 9, b"aaa": 2}
+    library = tiktoken.Encoding("odd", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    replay, rnd = bpe.MergeReplay(ranks), random.Random(8)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 30))).encode() for _ in range(500)]
+    assert replay.encode(words) == [library.encode_ordinary(w.decode()) for w in words]
+
+
+def test_bpe_rows(odd, none):
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
+    found = bpe.encode_documents(odd, PATH, P.PATTERN).collect()
+    expected = [(r[0], library.encode_ordinary(r[1] or ""), (r[1] or "").encode()) for r in odd_rows()]
+    assert sorted(map(repr, ((r.doc_id, list(r.ids), bytes(r.decoded)) for r in found))) == sorted(map(repr, expected))
+    digests = bpe.encode_documents(odd, PATH, P.PATTERN, digests=True).collect()
+    expected = [(i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(d).hexdigest()) for i, x, d in expected]
+    assert sorted(map(repr, map(tuple, digests))) == sorted(map(repr, expected))
+    assert bpe.encode_documents(none, PATH, P.PATTERN).count() == 0
+
+
+def longest_match(word, vocabulary):
+    n = at = 0
+    while at < len(word):
+        size = next((k for k in range(len(word) - at, 0, -1) if word[at : at + k] in vocabulary), 0)
+        if not size:
+            return 1
+        at += size
+        n += 1
+    return n
+
+
+def test_automaton_is_greedy_longest_match():
+    rnd = random.Random(2)
+    for _ in range(60):
+        vocabulary = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))).encode() for _ in range(rnd.randint(1, 12))}
+        own = token_counts.Automaton(vocabulary)
+        for _ in range(40):
+            word = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 14))).encode()
+            assert own.count(word) == longest_match(word, vocabulary), (vocabulary, word)
+
+
+def test_token_counts(odd, none):
+    vocabulary = set(bpe.read_ranks(PATH))
+    whole = regex.compile(P.PATTERN)
+    rows = [r for r in odd_rows() if len(r[1] or "") < 25_000]
+    expected = [(r[0], len(w), sum(longest_match(x.encode(), vocabulary) for x in w)) for r in rows for w in [whole.findall(r[1] or "")]]
+    found = token_counts.count_tokens(odd.where("text is null or length(text) < 25000"), PATH, P.PATTERN).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
+    assert token_counts.count_tokens(odd, PATH, P.PATTERN).count() == len(odd_rows())
+    assert token_counts.count_tokens(none, PATH, P.PATTERN).count() == 0
+
+
+def brute_anchors(text, k, s):
+    """Positions of closed syncmers, with the hashes of s-mers from the operator."""
+    h = syncmers._mix(syncmers._runs(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), s, syncmers._poly)) if len(text) >= s else []
+    out = []
+    for i in range(len(text) - k + 1):
+        inner = [int(x) for x in h[i : i + k - s + 1]]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append(i)
+    return out
+
+
+@pytest.mark.parametrize(("k", "s"), [(24, 8), (7, 3), (5, 5), (11, 4)])
+def test_syncmers(monkeypatch, k, s):
+    rnd = random.Random(5)
+    texts = ["", "kurz", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", prose(rnd, 40), "é🙂" * 40, prose(rnd, 200)]
+    smers = [syncmers._mix(syncmers._runs(np.frombuffer(t[:s].encode("utf-32-le"), "<u4").astype(np.uint64), s, syncmers._poly))[0] for t in (texts[3], texts[3])]
+    assert smers[0] == smers[1]
+    whole = syncmers.anchors(texts, k, s)
+    for i, t in enumerate(texts):
+        mine = whole[1][whole[0] == i].tolist()
+        assert mine == (brute_anchors(t, k, s) or ([0] if t else []))
+    monkeypatch.setattr(syncmers, "BLOCK", 37)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, syncmers.anchors(texts, k, s), strict=True))
+
+
+def test_syncmers_need_no_context():
+    rnd = random.Random(6)
+    middle = prose(rnd, 80)
+    own, pos, h = syncmers.anchors([middle, prose(rnd, 30) + middle + prose(rnd, 10)])
+    assert set(h[own == 0].tolist()) <= set(h[own == 1].tolist())
+    gaps = np.diff(pos[own == 0])
+    assert gaps.max() <= syncmers.K - syncmers.S + 1
+
+
+def test_edits(odd, none, make):
+    found = syncmers.compare_with_edits(odd).collect()
+    rows = sorted(odd_rows(), key=lambda r: (-r[0] if r[0] is not None else 1 + zlib.crc32((r[1] or "").encode()) + (1 << 60), r[1] or ""))
+    texts = [r[1] or "" for r in rows]
+    expected = []
+    for i, r in enumerate(rows):
+        new = syncmers.edited(texts[i], texts[(i + 1) % len(rows)])
+        expected.append((r[0], len(texts[i]), hashlib.sha256(new.encode()).hexdigest()))
+    assert sorted(map(repr, ((r.doc_id, r.n_chars, r.edited_sha256) for r in found))) == sorted(map(repr, expected))
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    assert syncmers.compare_with_edits(none).count() == 0
+    alone = syncmers.compare_with_edits(make([(5, "a text of its own, twice over")])).first()
+    assert alone.near_next == 1.0
+    rnd = random.Random(9)
+    same = prose(rnd, 90)
+    by = {r.doc_id: r for r in syncmers.compare_with_edits(make([(1, same), (2, same), (3, prose(rnd, 90))])).collect()}
+    assert by[2].near_next == 1.0 and by[2].fingerprint == by[1].fingerprint != by[3].fingerprint
+    assert by[3].near_next < 0.05 < 0.2 < by[3].near_edited < 0.6
+
+
+def test_likeness_counts_repeats():
+    a = (np.array([0, 0, 0, 1]), np.array([5, 5, 7, 9], np.uint64))
+    b = (np.array([0, 0]), np.array([5, 8], np.uint64))
+    assert syncmers.likeness(a, b, 3).tolist() == [1 / 4, 0.0, 1.0]
+
+
+def test_anchor_lists(odd):
+    found = syncmers.anchor_lists(odd).collect()
+    assert len(found) == len(odd_rows()) and all(len(r.positions) == len(r.hashes) for r in found)
