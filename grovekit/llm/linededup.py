@@ -124,11 +124,12 @@ def _met(threshold: int):
     """Pairs of different lines that share a key, one of them as an index entry, and have near bags."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        whole = pa.Table.from_batches(held)
         key, kind, line, bag = (whole[c].to_numpy() for c in ("key", "kind", "line", "bag"))
-        del whole
+        del whole, held
         order = np.lexsort((kind, line, key))
         key, kind, line, bag = key[order], kind[order], line[order], bag[order].view(_U)
         new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]

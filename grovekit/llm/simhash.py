@@ -97,9 +97,10 @@ def _compare(radius: int):
         return [ids[moved], ids[label[moved]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(list(batches))
-        if not whole.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        whole = pa.Table.from_batches(held)
         t, v, fp, ids = (whole[c].to_numpy() for c in ("tile", "visit", "fp", "rep"))
         fp = fp.view(np.uint64)
         order = np.lexsort((v, t))
