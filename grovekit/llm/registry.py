@@ -61,7 +61,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_lines, op4_bpe, op5_html, op6_simhash, op7_exact_dedup, op8_quality, op9_syncmers, op10_token_counts)}
 
+# Letters whose counts bound an edit distance from below, and the others of the texts' languages.
+LETTERS = "enatoriushld"
+ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+#: DuckDB's distance is one of bytes, so each accented letter becomes a control character.
+PLAIN = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
+
+LINES = f"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+    p AS MATERIALIZED (SELECT * FROM t WHERE length(line) >= {linededup.LEAST_CHARS}),
+    d AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY line) AS id, length(line) AS n, translate(line, '{ACCENTED}', {PLAIN}) AS plain,
+        {", ".join(f"length(line) - length(replace(line, '{c}', '')) AS n_{c}" for c in LETTERS)} FROM (SELECT DISTINCT line FROM p)),
+    near AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON b.n >= a.n AND b.n <= a.n + {linededup.THRESHOLD} AND (b.n > a.n OR b.id > a.id)
+        AND CASE WHEN {" + ".join(f"abs(a.n_{c} - b.n_{c})" for c in LETTERS)} <= {2 * linededup.THRESHOLD} THEN levenshtein(a.plain, b.plain) <= {linededup.THRESHOLD} ELSE false END),
+    links AS (SELECT u, v FROM near UNION ALL SELECT v, u FROM near),
+    reach(id, top) AS (SELECT u, u FROM links UNION SELECT links.v, reach.top FROM reach JOIN links ON links.u = reach.id),
+    label AS (SELECT id, min(top) AS top FROM reach GROUP BY id),
+    placed AS (SELECT p.doc_id, p.line_no, row_number() OVER (PARTITION BY coalesce(label.top, d.id) ORDER BY p.doc_id, p.line_no) AS place FROM p JOIN d USING (line) LEFT JOIN label USING (id)),
+    gone AS (SELECT doc_id, count(*) AS n_dropped, string_agg(line_no, ',' ORDER BY line_no) AS dropped FROM placed WHERE place > 1 GROUP BY doc_id)
+    SELECT doc_id, (SELECT count(*) FROM t WHERE t.doc_id = documents.doc_id) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(dropped, '') AS dropped FROM documents LEFT JOIN gone USING (doc_id)"""
+
 ORACLES = {
+    "op3_lines": LINES,
     # A to Z only: Spark and DuckDB agree on translate, not on lower.
     "op7_exact_dedup": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,11 +65,10 @@ def test_registered_queries(spark):
     assert [x.split("_")[0] for x in registry.QUERIES] == [f"op{n}" for n in range(1, 11)]
 
 
-def test_exact_dedup_against_sql(spark):
-    import duckdb
-
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    found = registry.QUERIES["op7_exact_dedup"](spark, str(DATA))
+    found = registry.QUERIES[name](spark, str(DATA))
     cols = ", ".join(found.columns)
-    assert sorted(map(tuple, found.collect())) == sorted(con.sql(f"SELECT {cols} FROM ({registry.ORACLES['op7_exact_dedup']})").fetchall())
+    assert sorted(map(tuple, found.collect())) == sorted(con.sql(f"SELECT {cols} FROM ({registry.ORACLES[name]})").fetchall())
