@@ -38,7 +38,7 @@ class Forest:
 
 
 class Strategy(Protocol):
-    """From work (k, cu, cv) to the picked ranks: (k, round), and the number of rounds that picked any."""
+    """From written work (k, cu, cv) to the picked ranks: (k, round), and the number of rounds that picked any."""
 
     def __call__(self, work: DataFrame, tail_edges: int) -> tuple[DataFrame, int]: ...
 
@@ -75,22 +75,26 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from whole.filter(pa.array(kept)).combine_chunks().to_batches()
 
 
-def _whole(work: DataFrame, at: int) -> DataFrame:
-    """(k, round) by one task, for inputs whose size has been checked."""
-    return work.coalesce(1).mapInArrow(_local, "k long, cu long, cv long").select("k", F.lit(at).alias("round"))
+def _forests(work: DataFrame) -> DataFrame:
+    return work.mapInArrow(_local, "k long, cu long, cv long")
+
+
+def _tail(work: DataFrame, at: int) -> DataFrame:
+    """(k, round) for inputs whose size has been checked: forests of the partitions, then that of their union by one task."""
+    return _forests(_forests(work).repartition(1)).select("k", F.lit(at).alias("round"))
 
 
 def boruvka(work: DataFrame, tail_edges: int = TAIL_EDGES) -> tuple[DataFrame, int]:
     """Rounds of contraction; few enough edges end in one task, as one round more."""
     found: list[DataFrame] = []
-    left = materialize(work, "work")
+    left = work
     while n := left.count():
         if n <= tail_edges:
-            found.append(materialize(_whole(left, len(found) + 1), "picked"))
+            found.append(_tail(left, len(found) + 1))
             break
         best = materialize(rounds.candidates(left), "best")
         found.append(rounds.chosen(best).select("k", F.lit(len(found) + 1).alias("round")))
-        parent = materialize(rounds.jump(rounds.broken(rounds.successors(best, left))), "parent")
+        parent = materialize(rounds.jump(rounds.jump(rounds.broken(rounds.successors(best, left)))), "parent")
         while not rounds.is_settled(parent):
             parent = materialize(rounds.jump(rounds.jump(parent)), "parent")
         left = materialize(rounds.contracted(left, parent), "work")
@@ -105,14 +109,13 @@ def filtered(work: DataFrame, tail_edges: int = TAIL_EDGES) -> tuple[DataFrame,
 
     The forest of all edges is that of the union of the forests of any parts.
     """
-    left, n = materialize(work.mapInArrow(_local, "k long, cu long, cv long"), "filtered"), None
+    left, n, parts = materialize(_forests(work), "filtered"), None, int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while (m := left.count()) > tail_edges and (n is None or m < 0.75 * n):
-        n = m
-        parts = max(2, left.rdd.getNumPartitions() // 2)
-        left = materialize(left.repartition(parts).mapInArrow(_local, "k long, cu long, cv long"), "filtered")
+        n, parts = m, max(2, parts // 2)
+        left = materialize(_forests(left.repartition(parts)), "filtered")
     if m > tail_edges:
         return boruvka(left, tail_edges)
-    return materialize(_whole(left, 1), "picked"), int(m > 0)
+    return _forests(left.repartition(1)).select("k", F.lit(1).alias("round")), int(m > 0)
 
 
 def kruskal(work: DataFrame, tail_edges: int = TAIL_EDGES) -> tuple[DataFrame, int]:
@@ -120,7 +123,7 @@ def kruskal(work: DataFrame, tail_edges: int = TAIL_EDGES) -> tuple[DataFrame, i
     n = work.count()
     if n > 32 * tail_edges:
         raise ValueError(f"kruskal is for {32 * tail_edges} edges at most, not {n}; use boruvka")
-    return materialize(_whole(work, 1), "picked"), int(n > 0)
+    return _forests(work.coalesce(1)).select("k", F.lit(1).alias("round")), int(n > 0)
 
 
 STRATEGIES: dict[str, Strategy] = {"boruvka": boruvka, "filter": filtered, "kruskal": kruskal}
