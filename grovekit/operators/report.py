@@ -42,6 +42,11 @@ def edge_lines(forest: Forest) -> DataFrame:
     return e.select(F.format_string("%d - %d : %s", "a", "b", F.col("w").cast("string")).alias("line"), "a", "b", "w")
 
 
+def tree_lines(forest: Forest) -> DataFrame:
+    """(line): each edge as ``u v w``, as text files of graphs have it."""
+    return forest.edges.select(F.concat_ws(" ", "u", "v", F.col("w").cast("string")).alias("line"))
+
+
 def text_summary(forest: Forest) -> DataFrame:
     """(line): a header with weight and count, then the edges by ends and weight."""
     head = summary(forest).select(F.format_string("MSF weight %s, %d edges", F.col("total_weight").cast("string"), "selected_edge_count").alias("line"))

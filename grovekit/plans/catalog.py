@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grovekit.functions import runs as R
 from grovekit.functions import scalars as S
-from grovekit.graph import Graph, encoded_key, lightest, normalized_ends, packed_key, ranked, unknown_ends, unpacked_id, violations
+from grovekit.graph import Graph, dense_ids, encoded_key, lightest, normalized_ends, packed_key, ranked, unknown_ends, unpacked_id, violations
 from grovekit.operators import report, rounds
 from grovekit.operators.forest import component_trace, components, minimum_spanning_forest
 from grovekit.operators.verify import left_out, membership, totals, verify
@@ -449,6 +449,38 @@ def tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), S.near(x * (1 + 1e-9), x, 1e-6).alias("near"), F.round(S.milliseconds(x), 2).alias("ms"))
 
 
+@query(f"WITH {O.edges('supply_price')} SELECT k - 1 AS place, u, v, w FROM e")
+def edge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gapless places along (weight, id), by a range sort and counts of its partitions."""
+    return dense_ids(_graph(spark, sf_dir, "supply_price").edges, "w", "eid", name="place").select("place", *UVW)
+
+
+@query(f"SELECT a.eid AS a, b.eid AS b FROM ({NATION}) a JOIN ({NATION}) b ON least(a.u, a.v) = least(b.u, b.v) AND greatest(a.u, a.v) = greatest(b.u, b.v) AND a.eid < b.eid")
+def same_undirected_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of edges between the same two ends, whichever comes first."""
+    e = _nations(spark, sf_dir).select("eid", encoded_key().alias("k"))
+    return e.alias("a").join(e.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.eid") < F.col("b.eid"))).select(F.col("a.eid").alias("a"), F.col("b.eid").alias("b"))
+
+
+@query(O.forest("supply_mod3", "SELECT u || ' ' || v || ' ' || w AS line FROM msf"))
+def tree_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.tree_lines(minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3")))
+
+
+SIZES = "(VALUES ('triangle', 3, 3), ('square', 4, 5), ('tie', 5, 5), ('test', 12, 29), ('sparse12', 12, 29), ('dense16', 16, 55))"
+
+
+@query(f"SELECT name, CAST(vertices AS BIGINT) AS vertices, CAST(edges AS BIGINT) AS edges FROM {SIZES} t(name, vertices, edges)")
+def catalog_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name in ("triangle", "square", "tie", "test", "sparse12", "dense16"):
+        graph = G.CATALOG[name](spark)
+        v, e = graph.vertex_ids().agg(F.count(F.lit(1)).alias("vertices")), graph.edges.agg(F.count(F.lit(1)).alias("edges"))
+        row = v.crossJoin(e).select(F.lit(name).alias("name"), "vertices", "edges")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # Reports, generators and files: rows that SQL can't give.
 
 
