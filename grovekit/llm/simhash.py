@@ -9,6 +9,7 @@ rest are compared whole, with numpy's exclusive-or and bit counts.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,16 +39,28 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     return [digest(flat[a : b - 1], SEED) for a, b in zip([0, *ends], ends[width - 1 :], strict=False)]
 
 
+def _word(h: np.ndarray, word: int) -> np.ndarray:
+    """The hashes as they are for the first 64 bits, mixed anew for each further word."""
+    if not word:
+        return h
+    x = h + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def majority(h: np.ndarray, word: int = 0) -> np.uint64:
+    """64 bits, each set if it is in over half of the hashes; none give zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        part = _word(h[at : at + (1 << 16)], word)
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(texts: Iterable[str | None], width: int = 3) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is in over half of the shingles' hashes; no words give zero."""
-    out = []
-    for text in texts:
-        h = np.array(shingle_hashes(text, width), np.uint64)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64)
+    """64-bit fingerprints of the texts."""
+    return np.array([majority(np.array(shingle_hashes(t, width), np.uint64)) for t in texts], np.uint64)
 
 
 def _fingerprint(width: int):
@@ -153,9 +166,136 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
     return lookup(rows, table, "fp", "n").select("doc_id", "fp", "component_id")
 
 
+#: Fingerprints for a given similarity: 64-bit words, and smallest hashes by which texts meet.
+WORDS, KEYS = 4, 8
+#: Texts that share a key are compared in tiles of this size, each pair of tiles by a task of its own.
+TILE = 4096
+
+
+def radius_of(similarity: float, words: int = WORDS) -> int:
+    """Bits that texts of this Jaccard similarity differ in, and one standard deviation more.
+
+    Of two sets of like size with similarity j the cosine is 2 j / (1 + j), and
+    a bit differs with the share of the angle in a half turn.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+
+
+def _wide(width: int, words: int, keys: int):
+    salts = [np.uint64(xxhash.xxh64_intdigest(f"key {i}") | 1) for i in range(keys)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            hashes = [np.array(shingle_hashes(t, width), np.uint64) for t in b["text"].to_pylist()]
+            fp = np.array([[majority(h, w) for w in range(words)] for h in hashes], np.uint64).reshape(-1, words)
+            least = [[int((_word(h * s, 1)).min().view(np.int64)) for s in salts] if len(h) else [] for h in hashes]
+            cols = {f"fp{w}": pa.array(np.ascontiguousarray(fp[:, w]).view(np.int64)) for w in range(words)}
+            yield pa.record_batch({"doc_id": b["doc_id"], **cols, "keys": pa.array(least, pa.list_(pa.int64()))})
+
+    return run
+
+
+def block_links(fp: np.ndarray, part: np.ndarray, radius: int, label: np.ndarray) -> None:
+    """Joins ``label`` along links within the radius; with two parts, only from one to the other.
+
+    Rows come sorted by population count, so blocks whose counts differ beyond
+    the radius are skipped; later words are read for what the first ones leave.
+    """
+    ones = np.bitwise_count(fp).sum(axis=1)
+    two = bool(part.any())
+    for a in range(0, len(fp), 512):
+        for b in range(a, len(fp), 2048):
+            if int(ones[b]) - int(ones[min(a + 512, len(fp)) - 1]) > radius:
+                break
+            x, y = fp[a : a + 512], fp[b : b + 2048]
+            far = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            i, j = np.nonzero(far <= radius)
+            sums = far[i, j].astype(np.int64)
+            for w in range(1, fp.shape[1]):
+                sums += np.bitwise_count(x[i, w] ^ y[j, w])
+                near = sums <= radius
+                i, j, sums = i[near], j[near], sums[near]
+            i, j = i + a, j + b
+            ok = (i < j) & ((part[i] != part[j]) if two else True)
+            spanning_links(len(fp), i[ok], j[ok], label)
+
+
+def _blocks(words: int, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        whole = pa.Table.from_batches(held)
+        key, task, part, node = (whole[c].to_numpy() for c in ("key", "task", "part", "node"))
+        fp = np.stack([whole[f"fp{w}"].to_numpy().view(np.uint64) for w in range(words)], axis=1)
+        del whole, held
+        order = np.lexsort((node, np.bitwise_count(fp).sum(axis=1), task, key))
+        key, task, part, node, fp = key[order], task[order], part[order], node[order], fp[order]
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (task[1:] != task[:-1])])
+        u, v = [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+            if e - s > 1:
+                label = np.arange(e - s)
+                block_links(fp[s:e], part[s:e], radius, label)
+                moved = np.flatnonzero(label != np.arange(e - s))
+                u.append(node[s:e][moved])
+                v.append(node[s:e][label[moved]])
+        if u:
+            yield pa.record_batch({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+
+    return run
+
+
+def similar_links(points: DataFrame, words: int, radius: int, tile: int = TILE) -> DataFrame:
+    """(u, v) between nodes of ``points`` (key, node, fp0 ...) that share a key and differ in ``radius`` bits or fewer.
+
+    Keys of more nodes than a tile holds are split by a hash of the node, and
+    every pair of such parts is a task, so no task gets more than two of them.
+    """
+    spark = points.sparkSession
+    counts = points.groupBy("key").count().where(F.col("count") > tile)
+    hot = materialize(counts.select("key", F.ceil(F.col("count") / (0.8 * tile)).cast("int").alias("parts")), "hot-keys")
+    small = F.broadcast(hot) if hot.count() <= 100_000 else hot
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    # With parts p and q, p <= q, a task is p * parts + q; a row of part p takes side 0 in those, and side 1 in those of a lower p.
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct((F.least(own, q) * F.col("parts") + F.greatest(own, q)).cast("long").alias("task"), (q < own).cast("byte").alias("part")))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("task"), F.lit(0).cast("byte").alias("part")))
+    to = points.join(small, "key", "left").withColumn("to", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(pair)))
+    dealt = to.select("key", "to.task", "to.part", "node", *[f"fp{w}" for w in range(words)])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "key", "task").mapInArrow(_blocks(words, radius), "u long, v long")
+
+
+def similar_groups(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, words: int = WORDS, keys: int = KEYS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with its group of near duplicates on word shingles: doc_id, component_id.
+
+    Fingerprints have ``words`` times 64 bits, which tell similarities apart far
+    better than 64, and are compared exactly, in tiles, for all texts that share
+    one of ``keys`` smallest shingle hashes. Two texts of similarity 0.8 share
+    none with a chance of 0.2 to the power of ``keys``, under 3 in a million.
+    Texts without words are copies of one another. Null texts are empty; rows
+    without id are as in ``near_duplicates``. Fingerprints are known by a hash
+    of 64 bits.
+    """
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    names = [f"fp{w}" for w in range(words)]
+    rows = source.mapInArrow(_wide(width, words, keys), f"doc_id long, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+    rows = materialize(rows.withColumn("node", F.xxhash64(*names)), "fingerprints")
+    points = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
+    dealt = materialize(rows.where("doc_id is not null").select(F.explode("keys").alias("key"), "node", *names).distinct(), "dealt")
+    label = connected_components(similar_links(dealt, words, radius_of(similarity, words), tile))
+    points = points.join(label.select(F.col("v").alias("node"), "c"), "node", "left")
+    linked = points.where("c is not null")
+    first = materialize(linked.groupBy("c").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "first")
+    linked = lookup(materialize(linked, "linked"), first, "c", "nodes").select("node", "n", "component_id")
+    alone = points.where("c is null").select("node", "n", F.col("rep").alias("component_id"))
+    return lookup(rows.select("doc_id", "node"), materialize(linked.unionByName(alone), "components"), "node", "n").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id. Rows without id stay."""
-    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    """``docs`` with one document of each of ``similar_groups``: that of the smallest id. Rows without id stay."""
+    near = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
     kept = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
     own = F.col(f"`{id_col}`")
     with_id = docs.where(own.isNotNull())
