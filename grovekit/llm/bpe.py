@@ -21,7 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import pieces
-from grovekit.llm.pretokens import Memory, matcher
+from grovekit.llm.pretokens import Memory, matcher, split_chunk
+
+#: Words that a worker keeps, and the longest that it does.
+WORDS, LONG_WORD = 500_000, 100
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,77 +41,97 @@ class MergeReplay:
         self.byte = [ranks[bytes([b])] for b in range(256)]
         self.pairs: dict[int, int] = {}
 
+        width = np.full((256, 256), -1, np.int32)
+        for piece, rank in ranks.items():
+            if len(piece) == 2:
+                width[piece[0], piece[1]] = rank
+        self.first = width
+
     def pair(self, a: int, b: int) -> int:
         """Rank of two tokens joined; -1 if they can't be."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.piece[a] + self.piece[b], -1)
+        if len(self.pairs) > 2_000_000:
+            self.pairs.clear()
+        found = self.pairs[a << 32 | b] = self.ranks.get(self.piece[a] + self.piece[b], -1)
         return found
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word, as greedy merging by lowest rank, leftmost first, gives them."""
-        if not words:
-            return []
-        starts = np.cumsum([0, *map(len, words)]).tolist()
-        byte, pair = self.byte, self.pair
-        tok = [byte[b] for w in words for b in w]
-        n = starts[-1]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s, e in zip(starts, starts[1:], strict=False):
-            if e > s:
-                before[s] = after[e - 1] = -1
-        index: dict[int, list[int]] = {}
-        known = self.pairs.get
-        for i, j in enumerate(after):
-            if j >= 0:
-                a, b = tok[i], tok[j]
-                r = known(a << 32 | b)
-                if r is None:
-                    r = pair(a, b)
-                if r >= 0:
-                    if r in index:
-                        index[r].append(i)
-                    else:
-                        index[r] = [i]
-        heap = list(index)
-        heapq.heapify(heap)
-
-        def enter(r: int, i: int) -> None:
-            if r in index:
-                index[r].append(i)
-            else:
-                index[r] = [i]
-                heapq.heappush(heap, r)
-
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_raw(words)]
+
+    def encode_raw(self, words: list[bytes]) -> list[bytes]:
+        """The tokens of each word, as greedy merging by lowest rank, leftmost first, gives them.
+
+        Each word's are little-endian unsigned 32-bit integers.
+        """
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        n, starts = len(flat), np.cumsum([0, *map(len, words)])
+        if not n:
+            return [b"" for _ in words]
+        tok = np.array(self.byte, np.int64)[flat].tolist()
+        now = np.full(n, -1, np.int64)  # rank of the pair that begins at each position
+        now[:-1] = self.first[flat[:-1], flat[1:]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        edge = starts[1:][starts[1:] > starts[:-1]] - 1
+        after[edge] = now[edge] = -1
+        before[starts[:-1][starts[1:] > starts[:-1]]] = -1
+        order = np.argsort(now, kind="stable")
+        order = order[np.searchsorted(now[order], 0) :]
+        ranks, cut = np.unique(now[order], return_index=True)
+        flat_order, cut = order.tolist(), [*cut.tolist(), len(order)]
+        index = {r: flat_order[x:y] for r, x, y in zip(ranks.tolist(), cut, cut[1:], strict=False)}
+        heap = list(index)  # sorted, and so a heap
+        now, after, before, starts = now.tolist(), after.tolist(), before.tolist(), starts.tolist()
+        known, pair = self.pairs.get, self.pair
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            rank = heapq.heappop(heap)
+            rank = pop(heap)
             at = index.pop(rank)
             at.sort()
             waiting: set[int] = set()  # words that got a pair of a lower rank meanwhile
             for i in at:
-                j = after[i]
-                if j < 0 or tok[i] < 0 or pair(tok[i], tok[j]) != rank:
+                if now[i] != rank:
                     continue
                 if waiting and bisect_right(starts, i) in waiting:
-                    enter(rank, i)
+                    if rank not in index:
+                        index[rank] = []
+                        push(heap, rank)
+                    index[rank].append(i)
                     continue
-                tok[i], tok[j] = rank, -1
+                j = after[i]
+                tok[i], tok[j], now[j] = rank, -1, -1
                 k = after[i] = after[j]
-                after[j] = -1
+                r = -1
                 if k >= 0:
                     before[k] = i
-                    if (r := pair(rank, tok[k])) >= 0:
-                        enter(r, i)
+                    r = known(rank << 32 | tok[k])
+                    if r is None:
+                        r = pair(rank, tok[k])
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(i)
+                        else:
+                            index[r] = [i]
+                            push(heap, r)
+                        if r < rank:
+                            waiting.add(bisect_right(starts, i))
+                now[i] = r
+                p = before[i]
+                if p >= 0:
+                    r = known(tok[p] << 32 | rank)
+                    if r is None:
+                        r = pair(tok[p], rank)
+                    now[p] = r
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(p)
+                        else:
+                            index[r] = [p]
+                            push(heap, r)
                         if r < rank:
                             waiting.add(bisect_right(starts, i))
-                if (p := before[i]) >= 0 and (r := pair(tok[p], rank)) >= 0:
-                    enter(r, p)
-                    if r < rank:
-                        waiting.add(bisect_right(starts, i))
-        return [[t for t in tok[s:e] if t >= 0] for s, e in zip(starts, starts[1:], strict=False)]
+        whole = np.array(tok)
+        left = whole >= 0
+        ids, cut = whole[left].astype("<u4").tobytes(), (4 * np.r_[0, np.cumsum(left)][starts]).tolist()
+        return [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
 
 
 class Codec:
@@ -116,14 +139,22 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.replay, self.split = MergeReplay(ranks), matcher(pattern)
-        self.memory = Memory(self._chunks)
+        self.memory, self.words = Memory(self._chunks), {}
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        words = [self.split(c) for c in chunks]
-        flat = list(dict.fromkeys(w for ws in words for w in ws))
-        ids = {w: np.array(t, "<u4").tobytes() for w, t in zip(flat, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in flat]), strict=True)}
-        return [b"".join([ids[w] for w in ws]) for ws in words]
+        words = [split_chunk(c, self.split) for c in chunks]
+        if len(self.words) > WORDS:
+            self.words.clear()
+        known = self.words
+        new = list({w: None for ws in words for w in ws if w not in known})
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        known.update(zip(new, self.replay.encode_raw(raw), strict=True))
+        out = [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in words]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         return [b"".join(v) for v in self.memory.values(texts)]

@@ -23,13 +23,20 @@ def matcher(pattern: str) -> Callable[[str], list[str]]:
     return regex.compile(own).findall
 
 
+def split_chunk(chunk: str, full: Callable[[str], list[str]]) -> list[str]:
+    """The matches in a chunk; one of Latin letters only, with or without a blank before, is one match."""
+    if (chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " ") and (chunk.isascii() or max(chunk) < "\u0250"):
+        return [chunk]
+    return full(chunk)
+
+
 class Memory:
     """What has been worked out for chunks, up to ``limit`` of them; then it starts anew.
 
     ``work`` gets the chunks that are not known, all at once, and returns a value for each.
     """
 
-    def __init__(self, work: Callable[[list[str]], list], limit: int = 400_000, longest: int = 200) -> None:
+    def __init__(self, work: Callable[[list[str]], list], limit: int = 300_000, longest: int = 200) -> None:
         self.work, self.limit, self.longest, self.known = work, limit, longest, {}
 
     def values(self, texts: Iterable[str]) -> list[list]:

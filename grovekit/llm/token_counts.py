@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from grovekit.llm.bpe import read_ranks
 from grovekit.llm.common import pieces
-from grovekit.llm.pretokens import Memory, matcher
+from grovekit.llm.pretokens import Memory, matcher, split_chunk
 
 
 class Automaton:
@@ -81,7 +81,7 @@ class Counter:
 
     def _chunks(self, chunks: list[str]) -> list[tuple[int, int]]:
         count = self.automaton.count
-        return [(len(ws), sum([count(w.encode("utf-8", "surrogatepass")) for w in ws])) for ws in map(self.split, chunks)]
+        return [(len(ws), sum([count(w.encode("utf-8", "surrogatepass")) for w in ws])) for ws in (split_chunk(c, self.split) for c in chunks)]
 
     def counts(self, texts: Iterable[str]) -> list[tuple[int, int]]:
         return [tuple(map(sum, zip(*v, strict=True))) if v else (0, 0) for v in self.memory.values(texts)]
