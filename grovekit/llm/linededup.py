@@ -12,6 +12,7 @@ so are equal lines; the first line of a class stays.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from grovekit.storage import materialize
 THRESHOLD = 2
 #: Shorter lines are common phrases, not copies; they always stay.
 LEAST_CHARS = 40
+#: Keys of more lines than this are compared where they meet, in tiles, and give links, not pairs.
+PAIRED, TILE = 64, 1024
 #: Candidate lines up to so many (8 MB of ids) are broadcast to fetch their texts.
 BROADCAST_IDS = 1_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -120,8 +123,18 @@ def _dealt(threshold: int, least: int):
     return run
 
 
-def _met(threshold: int):
-    """Pairs of different lines that share a key, one of them as an index entry, and have near bags."""
+def _tasks(size: int, tile: int) -> list[tuple[int, int]]:
+    """Pairs of tiles, in order, that cover all pairs of a key's ``size`` lines."""
+    n = -(-size // tile)
+    return [(a, b) for a in range(n) for b in range(a, n)]
+
+
+def _met(threshold: int, paired: int = PAIRED, tile: int = TILE):
+    """Different lines that share a key, one of them as an index entry.
+
+    As pairs with near bags (task -1), where the key has few lines; else each
+    line goes to the tasks of its tile, as (line, key, task, part and kind).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -134,7 +147,18 @@ def _met(threshold: int):
         key, kind, line, bag = key[order], kind[order], line[order], bag[order].view(_U)
         new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
         key, kind, line, bag = key[new], kind[new], line[new], bag[new]
-        at, step = np.arange(len(key)), 0
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+
+        def out(u: np.ndarray, v: np.ndarray, task: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"u": pa.array(u), "v": pa.array(v), "task": pa.array(task.astype(np.int64)), "part": pa.array(part.astype(np.int8))})
+
+        for f, n in zip(first[size > paired].tolist(), size[size > paired].tolist(), strict=True):
+            if not kind[f : f + n].all():
+                for task, (x, y) in enumerate(_tasks(n, tile)):
+                    at = np.concatenate([f + np.arange(t * tile, min((t + 1) * tile, n)) for t in dict.fromkeys((x, y))])
+                    yield out(line[at], key[at], np.full(len(at), task), 2 * ((at - f) // tile != x) + kind[at])
+        at, step = np.flatnonzero(np.repeat(size <= paired, size)), 0
         while len(at):
             step += 1
             at = at[at + step < len(key)]
@@ -146,7 +170,55 @@ def _met(threshold: int):
             i, j = line[i[near]], line[j[near]]
             if len(i):
                 pair = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-                yield pa.record_batch({"u": pa.array(pair[0]), "v": pa.array(pair[1])})
+                yield out(pair[0], pair[1], np.full(pair.shape[1], -1), np.zeros(pair.shape[1]))
+
+    return run
+
+
+def tile_links(lines: list[int], texts: list[str], parts: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links that join all near lines of a task, no more of them than lines.
+
+    A part's lowest bit is the kind, the next whether the line is of the second
+    tile; pairs within one tile are left to that tile's own task if there are two.
+    """
+    bag, part = bags(texts), np.array(parts)
+    two = bool((part > 1).any())
+    up = list(range(len(lines)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for i in range(len(lines)):
+        j = np.arange(i + 1, len(lines))
+        j = j[(part[j] & part[i] & 1) == 0]
+        if two:
+            j = j[part[j] >> 1 != part[i] >> 1]
+        j = j[bag_distance(bag[j], np.broadcast_to(bag[i], len(j))) <= 2 * threshold]
+        for k in j.tolist():
+            x, y = root(i), root(k)
+            if x != y and within(texts[i], texts[k], threshold):
+                up[max(x, y)] = min(x, y)
+                out.append((lines[i], lines[k]))
+    return out
+
+
+def _tiled(threshold: int):
+    """Rows sorted by key and task: each task's links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in pieces(batches, "content"):
+                yield from zip(*(b[c].to_pylist() for c in ("v", "task", "u", "content", "part")), strict=True)
+
+        for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
+            lines, texts, parts = map(list, zip(*(r[2:] for r in group), strict=True))
+            if found := tile_links(lines, texts, parts, threshold):
+                u, v = zip(*found, strict=True)
+                yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -172,19 +244,24 @@ def _verified(threshold: int):
     return run
 
 
-def line_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_CHARS) -> DataFrame:
+def line_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_CHARS, paired: int = PAIRED, tile: int = TILE) -> DataFrame:
     """(u, v): ids of different lines of ``docs`` (a text column) within the threshold of one another."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.mapInArrow(_dealt(threshold, least), "key long, kind byte, line long, bag long")
-    met = dealt.repartition(parts, "key").mapInArrow(_met(threshold), "u long, v long")
-    pairs = materialize(met.distinct(), "line-pairs")
-    wanted = materialize(pairs.select(F.explode(F.array("u", "v")).alias("line")).distinct(), "line-ids")
+    met = dealt.repartition(parts, "key").mapInArrow(_met(threshold, paired, tile), "u long, v long, task long, part byte")
+    met = materialize(met.distinct(), "line-pairs")
+    pairs, shared = met.where("task < 0").select("u", "v"), met.where("task >= 0")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("line")).unionByName(shared.select(F.col("u").alias("line")))
+    wanted = materialize(ids.distinct(), "line-ids")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     found = docs.mapInArrow(_texts(least), "line long, content string").join(small, "line", "left_semi")
     texts = materialize(found.groupBy("line").agg(F.min("content").alias("content")), "line-texts")
-    both = pairs.join(texts.select(F.col("line").alias("u"), F.col("content").alias("x")), "u").join(texts.select(F.col("line").alias("v"), F.col("content").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(_verified(threshold), "u long, v long")
+    named = lambda end, content: texts.select(F.col("line").alias(end), F.col("content").alias(content))
+    both = pairs.join(named("u", "x"), "u").join(named("v", "y"), "v").select("u", "v", "x", "y")
+    tasks = shared.join(named("u", "content"), "u").repartition(parts, "v", "task").sortWithinPartitions("v", "task", "part", "u")
+    verified = both.mapInArrow(_verified(threshold), "u long, v long")
+    return verified.unionByName(tasks.select("v", "task", "u", "content", "part").mapInArrow(_tiled(threshold), "u long, v long"))
 
 
 def _places(least: int):
@@ -198,7 +275,7 @@ def _places(least: int):
     return run
 
 
-def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, paired: int = PAIRED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line of at least ``least`` code points: doc_id, line_no (from 0), class_lines, first_doc, first_line.
 
     Lines end at \\n. A class is the lines that are equal or linked; its first
@@ -207,14 +284,16 @@ def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LE
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     places = materialize(source.mapInArrow(_places(least), "doc_id long, line_no int, line long, rest long"), "line-places")
-    label = connected_components(line_links(source.select("text"), threshold, least)).select(F.col("v").alias("line"), "c")
+    label = connected_components(line_links(source.select("text"), threshold, least, paired, tile)).select(F.col("v").alias("line"), "c")
     lines = places.groupBy("line", "rest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("first"))
     lines = materialize(lines.join(label, "line", "left"), "line-groups")
-    linked = lines.where("c is not null").groupBy("c").agg(F.sum("n").alias("class_lines"), F.min("first").alias("of_class"))
-    table = lines.join(linked, "c", "left").select(
-        "line", "rest", "n", F.coalesce("class_lines", "n").alias("class_lines"), F.coalesce("of_class", "first").alias("first")
+    linked = lines.where("c is not null")
+    classes = linked.groupBy("c").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("class_lines"), F.min("first").alias("of_class"))
+    linked = lookup(linked, materialize(classes, "line-classes"), "c", "lines").select("line", "rest", "n", "class_lines", F.col("of_class").alias("first"))
+    alone = lines.where("c is null").select("line", "rest", "n", F.col("n").alias("class_lines"), "first")
+    table = linked.unionByName(alone).select(
+        F.struct("line", "rest").alias("key"), "n", "class_lines", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")
     )
-    table = table.select(F.struct("line", "rest").alias("key"), "n", "class_lines", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
     found = lookup(places.select(F.struct("line", "rest").alias("key"), "doc_id", "line_no"), materialize(table, "line-table"), "key", "n")
     return found.select("doc_id", "line_no", "class_lines", "first_doc", "first_line")
 
@@ -234,10 +313,13 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Documents without id lose no lines.
     """
     gone = materialize(dropped_lines(docs, id_col=id_col, text_col=text_col, **options), "dropped").select(F.col("doc_id").alias("__gone_id"), F.col("dropped").alias("__gone"))
-    joined = docs.join(gone, docs[f"`{id_col}`"] == gone["__gone_id"], "left")
+    own = F.col(f"`{id_col}`")
+    named = docs.where(own.isNotNull())  # null ids would all meet in one task
+    joined = named.join(gone, named[f"`{id_col}`"] == gone["__gone_id"], "left")
     text = F.col(f"`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    freed = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return freed.unionByName(docs.where(own.isNull()))
 
 
 def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -246,6 +328,7 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     breaks = F.char_length(text) - F.char_length(F.translate(text, "\n", ""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (breaks + 1).cast("long").alias("n_lines"))
-    return rows.join(gone, "doc_id", "left").select(
+    joined = rows.where("doc_id is not null").join(gone, "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    return joined.select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped")
     )
