@@ -161,8 +161,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
     rows = materialize(source.mapInArrow(_fingerprint(width), "doc_id long, fp long"), "fingerprints")
     points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
     label = connected_components(near_links(points.where("rep is not null"), radius, segments))
-    table = points.join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
-    table = materialize(table.select("fp", "n", F.coalesce("c", "rep").alias("component_id")), "components")
+    named = points.where("rep is not null").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
+    table = named.select("fp", "n", F.coalesce("c", "rep").alias("component_id")).unionByName(points.where("rep is null").select("fp", "n", F.col("rep").alias("component_id")))
+    table = materialize(table, "components")
     return lookup(rows, table, "fp", "n").select("doc_id", "fp", "component_id")
 
 
