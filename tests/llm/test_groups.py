@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -99,9 +100,69 @@ def test_near_duplicates(odd, none):
     found = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(odd).collect()]
     assert sorted(map(repr, found)) == sorted(map(repr, expected))
     assert simhash.near_duplicates(none).count() == 0
+
+
+def wide_bits(text, words=simhash.WORDS):
+    """Fingerprint as one number, and the keys, of the shingles of five words."""
+    h = simhash.shingle_hashes(text, 5)
+    bits, keys = 0, set()
+    for w in range(words):
+        mixed = [int(x) for x in simhash._word(np.array(h, np.uint64), w)]
+        bits |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in mixed) > len(h)) << 64 * w
+    for i in range(simhash.KEYS if h else 0):
+        salt = xxhash.xxh64_intdigest(f"key {i}") | 1
+        keys.add((i, min(simhash._word(np.array([x * salt & (1 << 64) - 1 for x in h], np.uint64), 1).tolist())))
+    return bits, frozenset(keys)
+
+
+def similar_components(docs):
+    """docs: (id, text); the component of each id by brute force."""
+    radius = simhash.radius_of(0.8)
+    whole = {i: wide_bits(t) for i, t in docs if i is not None}
+    near = lambda a, b: whole[a][0] == whole[b][0] or (whole[a][0] ^ whole[b][0]).bit_count() <= radius and {k for _, k in whole[a][1]} & {k for _, k in whole[b][1]}
+    return linked(whole, near)
+
+
+def similar_docs():
+    rnd = random.Random(31)
+    docs, base = [], [prose(rnd, 150) for _ in range(12)]
+    for i in range(90):
+        words = rnd.choice(base).split()
+        for _ in range(rnd.choice([0, 1, 2, 6, 40])):
+            words[rnd.randrange(len(words))] = prose(rnd, 1)
+        docs.append((i, " ".join(words)))
+    return docs + [(200, ""), (201, None), (202, "\n"), (203, "only three words"), (204, "Only three words"), (205, "only four words here")]
+
+
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_similar_groups(make, tile):
+    docs = similar_docs()
+    expected = similar_components(docs)
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(make(docs), tile=tile).collect()}
+    assert found == expected
+    assert 12 <= len(set(expected.values())) < 60
+
+
+def test_texts_of_similarity_are_found():
+    """Of pairs above 0.85, nearly all are linked; of those under 0.5, none."""
+    docs = dict(similar_docs()[:90])
+    label = similar_components(docs.items())
+    sets = {i: set(simhash.shingle_hashes(t, 5)) for i, t in docs.items()}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in docs for b in docs if a < b}
+    high = [p for p, j in share.items() if j >= 0.85]
+    assert len(high) > 20 and sum(label[a] == label[b] for a, b in high) >= 0.98 * len(high)
+    radius = simhash.radius_of(0.8)
+    assert not [p for p, j in share.items() if j < 0.5 and (wide_bits(docs[p[0]])[0] ^ wide_bits(docs[p[1]])[0]).bit_count() <= radius]
+
+
+def test_one_of_each_group_stays(odd, none):
+    expected = similar_components([r[:2] for r in odd_rows()])
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(odd).collect() if r.doc_id is not None}
+    assert found == expected
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert {r.doc_id for r in kept.collect()} == {*component.values(), None}
+    assert {r.doc_id for r in kept.collect()} == {*expected.values(), None}
+    assert simhash.keep_one(none).count() == 0
 
 
 @pytest.mark.parametrize(("radius", "segments"), [(0, 4), (1, 4), (2, 4), (2, 8), (3, 4), (3, 2)])
@@ -207,6 +268,38 @@ def test_lines(make):
     assert texts == {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drops[i]) for i, t in docs}
 
 
+@pytest.mark.parametrize(("paired", "tile"), [(1, 1000), (1, 3), (4, 5)])
+def test_large_keys_lose_no_link(paired, tile):
+    rnd = random.Random(paired + tile)
+    base = prose(rnd, 14)[:60].ljust(60, "z")
+    lines = list(dict.fromkeys([f"{base[:50]}{a}{b}{base[52:]}" for a in "abcd" for b in "wxyz"] + edited_lines(rnd, 6, 40)))
+    key, kind, own = linededup.probes(lines, 2, 40)
+    bag = linededup.bags(lines)[own]
+    batch = pa.record_batch({"key": pa.array(key.view(np.int64)), "kind": pa.array(kind), "line": pa.array(own), "bag": pa.array(bag.view(np.int64))})
+    links, tasks = set(), defaultdict(list)
+    for b in linededup._met(2, paired, tile)(iter([batch])):
+        for u, v, task, part in zip(*(b[c].to_pylist() for c in ("u", "v", "task", "part")), strict=True):
+            if task < 0:
+                if within(lines[u], lines[v], 2):
+                    links.add((u, v))
+            else:
+                tasks[v, task].append((u, lines[u], part))
+    for rows in tasks.values():
+        assert len(rows) <= 2 * tile
+        links.update(linededup.tile_links(*map(list, zip(*rows, strict=True)), 2))
+    assert tasks
+    expected = linked(range(len(lines)), lambda a, b: within(lines[a], lines[b], 2) and min(len(lines[a]), len(lines[b])) >= 40)
+    assert linked(range(len(lines)), lambda a, b: (a, b) in links or (b, a) in links) == expected
+
+
+def test_lines_by_tiles(make, monkeypatch):
+    docs = line_docs()
+    frame = make(docs)
+    expected = sorted(map(tuple, linededup.line_report(frame).collect()))
+    monkeypatch.setattr(linededup, "BROADCAST_IDS", 0)
+    assert sorted(map(tuple, linededup.line_report(frame, paired=1, tile=2).collect())) == expected
+
+
 def test_lines_of_odd_rows(odd, none):
     out = linededup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

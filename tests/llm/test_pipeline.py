@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from grovekit.llm import linededup, mixing, quality, registry
 
-from .test_groups import expected_drops, fingerprint, linked
+from .test_groups import expected_drops, similar_components
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
@@ -37,8 +37,7 @@ def test_stages(spark):
     assert {i: (r.text, r.n_chars) for i, r in rows(lines).items()} == {i: (t, len(t)) for i, t in texts.items()}
 
     near = step("near duplicates", lines)
-    prints = {i: fingerprint(t) for i, t in texts.items()}
-    label = linked(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    label = similar_components(texts.items())
     assert set(rows(near)) == set(label.values())
 
     mixed = step("mixture", near)
