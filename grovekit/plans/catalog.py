@@ -53,6 +53,8 @@ _forest("msf_edges", "supply")
 _forest("msf_forest", "supply_mod3")
 _forest("msf_price", "supply_price")
 _forest("msf_geo", "geo")
+_forest("msf_double", "supply_double")
+_forest("msf_negative", "supply_negative")
 _forest("msf_rounds_only", "supply", tail=0)
 _forest("kruskal_edges", "supply_price", "kruskal")
 _forest("filter_edges", "supply_price", "filter")

@@ -7,6 +7,8 @@ from grovekit.sources.graphs import LITERAL, literal_edges
 SUPPLY = {
     "supply": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, CAST(min(l_linenumber) AS BIGINT) AS w FROM lineitem GROUP BY ALL",
     "supply_mod3": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, CAST(min(l_linenumber) AS BIGINT) AS w FROM lineitem WHERE l_suppkey % 3 = l_partkey % 3 GROUP BY ALL",
+    "supply_double": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, min(l_extendedprice) AS w FROM lineitem GROUP BY ALL",
+    "supply_negative": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, CAST(-max(l_linenumber) AS BIGINT) AS w FROM lineitem GROUP BY ALL",
     "supply_price": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS w FROM lineitem GROUP BY ALL",
 }
 GEO = """SELECT CAST(n_regionkey AS BIGINT) AS u, CAST(n_nationkey AS BIGINT) + 100 AS v, CAST(n_nationkey % 7 + 1 AS BIGINT) AS w FROM nation

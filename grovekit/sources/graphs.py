@@ -193,12 +193,15 @@ def supply(spark: SparkSession, sf_dir: str, kind: str = "supply") -> Graph:
 
     ``supply``: weighted by the least line number; ``supply_mod3``: only pairs
     of equal remainder by 3, so there are several components; ``supply_price``:
-    weighted by the least price in cents.
+    weighted by the least price in cents; ``supply_double``: by the price as it
+    is; ``supply_negative``: by the greatest line number, negated, so that the
+    forest is a heaviest one.
     """
     lines = table(spark, sf_dir, "lineitem")
     if kind == "supply_mod3":
         lines = lines.where("l_suppkey % 3 = l_partkey % 3")
-    w = F.round(F.col("l_extendedprice") * 100).cast("long") if kind == "supply_price" else F.col("l_linenumber").cast("long")
+    weights = {"supply_price": F.round(F.col("l_extendedprice") * 100).cast("long"), "supply_double": F.col("l_extendedprice"), "supply_negative": -F.col("l_linenumber").cast("long")}
+    w = weights.get(kind, F.col("l_linenumber").cast("long"))
     ends = lines.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v"), w.alias("w"))
     return _with_id(ends.groupBy("u", "v").agg(F.min("w").alias("w")))
 
