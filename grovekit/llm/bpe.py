@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from grovekit.llm.common import pieces
 from grovekit.llm.pretokens import Memory, matcher, split_chunk
 
-#: Words that a worker keeps, and the longest that it does.
-WORDS, LONG_WORD = 500_000, 100
+#: Words that a worker keeps, the longest that it does, and the pairs of tokens whose rank it knows.
+WORDS, LONG_WORD, PAIRS = 400_000, 100, 2_000_000
+#: Bytes of text whose new words are replayed together; what the replay holds is some hundred times that.
+BLOCK_BYTES = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +51,7 @@ class MergeReplay:
 
     def pair(self, a: int, b: int) -> int:
         """Rank of two tokens joined; -1 if they can't be."""
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         found = self.pairs[a << 32 | b] = self.ranks.get(self.piece[a] + self.piece[b], -1)
         return found
@@ -172,7 +174,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _encoder(path: str, pattern: str, finish: Callable[[Codec, list[bytes]], dict]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", BLOCK_BYTES):
             ids = own.encode(t or "" for t in b["text"].to_pylist())
             yield pa.record_batch({"doc_id": b["doc_id"], **finish(own, ids)})
 

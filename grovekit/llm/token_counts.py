@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path, pattern)
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", 1_000_000):
             found = own.counts(t or "" for t in b["text"].to_pylist())
             yield pa.record_batch({"doc_id": b["doc_id"], "n_words": pa.array([x[0] for x in found], pa.int64()), "n_tokens": pa.array([x[1] for x in found], pa.int64())})
 
