@@ -197,3 +197,16 @@ def test_long_and_deep_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert html_text.main_text(f"<article>{deep}<p>{'word ' * 100_000}</article>", {}).startswith("x\n\nword word")
     assert html_text.induce([f"<article>{deep}{i}</article>" for i in range(5)]) == [("/article/div", "x")]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article style='overflow:hidden'><p>a</article>", "a"),
+        ('<article><p>see <a href="/hidden-gems">gems</a> and <a href="/x?id=search">more</a></article>', "see gems and more"),
+        ('<div data-id="menu" data-class=footer title="role=search"><p>a</div>', "a"),
+        ("<p href=/a/hidden>a</p><p class=x HIDDEN>b</p><p aria-hidden = 'true'>c</p><div id = menu>d</div>", "a"),
+    ],
+)
+def test_attributes_are_not_read_inside_values(html, text):
+    assert html_text.main_text(html, {}) == text
