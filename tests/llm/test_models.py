@@ -210,3 +210,25 @@ def test_long_and_deep_pages():
 )
 def test_attributes_are_not_read_inside_values(html, text):
     assert html_text.main_text(html, {}) == text
+
+
+def extracted(spark, pages):
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html_text.extract_pages(frame).collect()}
+
+
+def test_siblings_are_template_singly(spark):
+    plain = [(i, f"http://plain.example/{i}", f"<div>Start Contact</div><div>Story {i}</div><div>All rights kept</div>") for i in range(6)]
+    closing = [(10 + i, f"http://closing.example/{i}", f"<article>{''.join(f'<p>Part {k} of {i}</p>' for k in range(i))}<p>Word {i}</p><p>Write to us</p></article>") for i in range(6)]
+    found = extracted(spark, plain + closing)
+    assert [found[i] for i in range(6)] == [f"Story {i}" for i in range(6)]
+    assert [found[10 + i] for i in range(6)] == ["\n\n".join([*(f"Part {k} of {i}" for k in range(i)), f"Word {i}"]) for i in range(6)]
+
+
+def test_the_region_is_where_the_text_varies(spark):
+    outside = [(i, f"http://outside.example/{i}", f"<article>Teaser {i}</article><div>{'Long story. ' * 5}{i}</div>") for i in range(6)]
+    inside = [(10 + i, f"http://inside.example/{i}", f"<article>{'Long story. ' * 5}{i}</article><div>Seen {i} times</div>") for i in range(6)]
+    found = extracted(spark, outside + inside)
+    story = ("Long story. " * 5).strip()
+    assert [found[i] for i in range(6)] == [f"Teaser {i}\n\n{story} {i}" for i in range(6)]
+    assert [found[10 + i] for i in range(6)] == [f"{story} {i}" for i in range(6)]
