@@ -22,17 +22,17 @@ def narrow(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in cols.items()])
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Inner join of ``rows`` with a ``table`` that has one row for each key.
 
     ``weight`` is the column of ``table`` with the number of ``rows`` that have
     the key. Keys with more than a thousandth of all rows (so fewer than
-    ``HOT_KEYS`` of them, whatever the size of the input) are joined by
+    ``hot_keys`` of them, whatever the size of the input) are joined by
     broadcast; the rest meet in a shuffle in which no key is large. Both inputs
     are read more than once and so should be materialized.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
-    bound = max(total // HOT_KEYS, 1)
+    bound = max(total // hot_keys, 1)
     hot = F.broadcast(table.where(F.col(weight) > bound))
     cold = table.where(F.col(weight) <= bound)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))

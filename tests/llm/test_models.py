@@ -232,3 +232,14 @@ def test_the_region_is_where_the_text_varies(spark):
     story = ("Long story. " * 5).strip()
     assert [found[i] for i in range(6)] == [f"Teaser {i}\n\n{story} {i}" for i in range(6)]
     assert [found[10 + i] for i in range(6)] == [f"{story} {i}" for i in range(6)]
+
+
+@pytest.mark.parametrize("hot_keys", [1000, 1])
+def test_templates_come_from_all_pages_of_a_host(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(html_text, "HOT_KEYS", hot_keys)
+    page = "<article><p>Story {}</p><div>Write to us</div></article>"
+    rows = [(None, None, page.format("copied"))] * 300 + [(None, None, page.format(i)) for i in range(6)]
+    rows += [(i, None, f"<article><p>Other layout {i}</p></article>") for i in range(2)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = sorted((r.page_id is None, r.text) for r in html_text.extract_pages(frame).collect())
+    assert found == sorted([(True, "Story copied")] * 300 + [(True, f"Story {i}") for i in range(6)] + [(False, f"Other layout {i}") for i in range(2)])
