@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.llm.common import lookup, pieces
@@ -264,45 +264,51 @@ def line_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_C
     return verified.unionByName(tasks.select("v", "task", "u", "content", "part").mapInArrow(_tiled(threshold), "u long, v long"))
 
 
+def _copy(text_col: str) -> Column:
+    """Tells rows of equal id but different texts apart."""
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
 def _places(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            rows = [(i, n, *line_id(x)) for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True) for n, x in enumerate(lines_of(t)) if len(x) >= least]
+            rows = [(i, c, n, *line_id(x)) for i, c, t in zip(b["doc_id"].to_pylist(), b["copy"].to_pylist(), b["text"].to_pylist(), strict=True) for n, x in enumerate(lines_of(t)) if len(x) >= least]
             if rows:
                 cols = zip(*rows, strict=True)
-                yield pa.record_batch({k: pa.array(c, kind) for (k, kind), c in zip((("doc_id", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("rest", pa.int64())), cols, strict=True)})
+                yield pa.record_batch({k: pa.array(c, kind) for (k, kind), c in zip((("doc_id", pa.int64()), ("copy", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("rest", pa.int64())), cols, strict=True)})
 
     return run
 
 
 def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, paired: int = PAIRED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line of at least ``least`` code points: doc_id, line_no (from 0), class_lines, first_doc, first_line.
+    """Every line of at least ``least`` code points: doc_id, copy, line_no (from 0), class_lines, first_doc, first_copy, first_line.
 
     Lines end at \\n. A class is the lines that are equal or linked; its first
-    line is that of the smallest id, then number. Documents with equal ids
-    count as one, and those without id come last.
+    line is that of the smallest id, then number. Documents with equal ids and
+    texts count as one; ``copy``, a hash of the text, tells those with equal ids
+    and different texts apart. Documents without id come last.
     """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    places = materialize(source.mapInArrow(_places(least), "doc_id long, line_no int, line long, rest long"), "line-places")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _copy(text_col).alias("copy"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    places = materialize(source.mapInArrow(_places(least), "doc_id long, copy long, line_no int, line long, rest long"), "line-places")
     label = connected_components(line_links(source.select("text"), threshold, least, paired, tile)).select(F.col("v").alias("line"), "c")
-    lines = places.groupBy("line", "rest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")).alias("first"))
+    lines = places.groupBy("line", "rest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "copy")).alias("first"))
     lines = materialize(lines.join(label, "line", "left"), "line-groups")
     linked = lines.where("c is not null")
     classes = linked.groupBy("c").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("class_lines"), F.min("first").alias("of_class"))
     linked = lookup(linked, materialize(classes, "line-classes"), "c", "lines").select("line", "rest", "n", "class_lines", F.col("of_class").alias("first"))
     alone = lines.where("c is null").select("line", "rest", "n", F.col("n").alias("class_lines"), "first")
     table = linked.unionByName(alone).select(
-        F.struct("line", "rest").alias("key"), "n", "class_lines", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")
+        F.struct("line", "rest").alias("key"), "n", "class_lines", F.col("first.doc_id").alias("first_doc"), F.col("first.copy").alias("first_copy"), F.col("first.line_no").alias("first_line")
     )
-    found = lookup(places.select(F.struct("line", "rest").alias("key"), "doc_id", "line_no"), materialize(table, "line-table"), "key", "n")
-    return found.select("doc_id", "line_no", "class_lines", "first_doc", "first_line")
+    found = lookup(places.select(F.struct("line", "rest").alias("key"), "doc_id", "copy", "line_no"), materialize(table, "line-table"), "key", "n")
+    return found.select("doc_id", "copy", "line_no", "class_lines", "first_doc", "first_copy", "first_line")
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
-    """For each id with lines that aren't the first of their class: doc_id, dropped array<int>, in order."""
+    """For each id and text with lines that aren't the first of their class: doc_id, copy, dropped array<int>, in order."""
     lines = line_classes(docs, **options)
-    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    gone = lines.where(~first).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("copy") == F.col("first_copy")) & (F.col("line_no") == F.col("first_line"))
+    gone = lines.where(~first).groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
     return gone.where("doc_id is not null")
 
 
@@ -312,10 +318,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     A null text stays null. A document all of whose lines go has an empty text.
     Documents without id lose no lines.
     """
-    gone = materialize(dropped_lines(docs, id_col=id_col, text_col=text_col, **options), "dropped").select(F.col("doc_id").alias("__gone_id"), F.col("dropped").alias("__gone"))
+    gone = materialize(dropped_lines(docs, id_col=id_col, text_col=text_col, **options), "dropped").select(F.col("doc_id").alias("__gone_id"), F.col("copy").alias("__gone_copy"), F.col("dropped").alias("__gone"))
     own = F.col(f"`{id_col}`")
     named = docs.where(own.isNotNull())  # null ids would all meet in one task
-    joined = named.join(gone, named[f"`{id_col}`"] == gone["__gone_id"], "left")
+    joined = named.join(gone, (named[f"`{id_col}`"] == gone["__gone_id"]) & (_copy(text_col) == gone["__gone_copy"]), "left")
     text = F.col(f"`{text_col}`")
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     freed = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -327,8 +333,8 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = dropped_lines(docs, id_col=id_col, text_col=text_col, **options)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     breaks = F.char_length(text) - F.char_length(F.translate(text, "\n", ""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (breaks + 1).cast("long").alias("n_lines"))
-    joined = rows.where("doc_id is not null").join(gone, "doc_id", "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _copy(text_col).alias("copy"), (breaks + 1).cast("long").alias("n_lines"))
+    joined = rows.where("doc_id is not null").join(gone, ["doc_id", "copy"], "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     return joined.select(
         "doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.coalesce(F.array_join(F.transform("dropped", lambda x: x.cast("string")), ","), F.lit("")).alias("dropped")
     )

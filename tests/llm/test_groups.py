@@ -312,3 +312,14 @@ def test_lines_of_odd_rows(odd, none):
 def test_bag_counts_wrap():
     a, b = linededup.bags(["a" * 17 + "b", "a" * 15 + "b"])
     assert linededup.bag_distance(np.array([a]), np.array([b]))[0] == 2
+
+
+def test_rows_of_one_id_lose_their_own_lines(make):
+    rnd = random.Random(40)
+    a, b, c, d = (prose(rnd, 20).ljust(60, x) for x in "abcd")
+    docs = [(1, a), (2, f"{a}\n{b}"), (2, f"{c}\n{a}"), (3, f"{d}\nx"), (3, f"{d}\ny")]
+    frame = make(docs)
+    texts = [(r.doc_id, r.text) for r in linededup.dedup_lines(frame).collect()]
+    assert sorted(texts)[:3] == sorted([(1, a), (2, b), (2, c)])
+    assert sorted(len(t) for i, t in texts if i == 3) == [1, len(d) + 2]
+    assert sorted((r.doc_id, r.dropped) for r in linededup.line_report(frame).collect()) == [(1, ""), (2, "0"), (2, "1"), (3, ""), (3, "0")]
