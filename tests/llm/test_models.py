@@ -243,3 +243,70 @@ def test_templates_come_from_all_pages_of_a_host(spark, monkeypatch, hot_keys):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     found = sorted((r.page_id is None, r.text) for r in html_text.extract_pages(frame).collect())
     assert found == sorted([(True, "Story copied")] * 300 + [(True, f"Story {i}") for i in range(6)] + [(False, f"Other layout {i}") for i in range(2)])
+
+
+HIDDEN = """<html><body><div>{menu}</div><div>{advert}</div><div><h1>{title}</h1>{story}</div><div>{foot}</div></body></html>"""
+
+
+def test_the_region_comes_from_the_alignment(spark):
+    """No tag or class tells the parts: only the alignment can, as the menu, the advert and the foot vary too."""
+    rnd, pages, expected = random.Random(5), [], {}
+    for i in range(12):
+        story = [prose(rnd, rnd.randint(30, 60)) for _ in range(rnd.randint(1, 9))]
+        title = prose(rnd, 5)
+        links = "".join(f"<a href=/{k}>{prose(rnd, 2)}</a> " for k in range(rnd.randint(4, 8)))
+        pages.append((i, f"http://hidden.example/{i}", HIDDEN.format(menu=links, advert=prose(rnd, 8), title=title, story="".join(f"<p>{x}" for x in story), foot=f"From {prose(rnd, 6)}")))
+        expected[i] = "\n\n".join([title, *story])
+    assert extracted(spark, pages) == expected
+    alone = extracted(spark, pages[:1])[0]
+    assert expected[0] in alone and alone != expected[0]
+
+
+def test_flat_pages_keep_headings_and_flowing_text(spark):
+    rnd = random.Random(6)
+    pages, expected = [], {}
+    for i in range(8):
+        title, first, last = prose(rnd, 4), prose(rnd, 40), prose(rnd, 3)
+        pages.append((i, f"http://flat.example/{i}", f"<div>{prose(rnd, 4)}</div><h1>{title}</h1><p>{first}</p><p>{last}</p><div><a href=/>{prose(rnd, 30)}</a></div>"))
+        expected[i] = "\n\n".join([title, first, last])
+    assert extracted(spark, pages) == expected
+
+
+def test_tree_matching_is_best():
+    def tree(rnd, labels, size):
+        out = html_text.Tree([rnd.choice(labels)], [[]])
+        for _ in range(size):
+            out.kids[rnd.randrange(len(out.kids))].append(len(out.labels))
+            out.labels.append(rnd.choice(labels))
+            out.kids.append([])
+        return out
+
+    def best(a, x, b, y):
+        if a.labels[x] != b.labels[y]:
+            return 0
+
+        def lists(p, q):
+            if not p or not q:
+                return 0
+            return max(lists(p[1:], q), lists(p, q[1:]), lists(p[1:], q[1:]) + best(a, p[0], b, q[0]))
+
+        return 1 + lists(a.kids[x], b.kids[y])
+
+    rnd = random.Random(9)
+    for _ in range(200):
+        a, b = (tree(rnd, "xy", rnd.randint(0, 9)) for _ in range(2))
+        found = html_text.matched(a, b)
+        assert len(found) == len(set(found.values())) == best(a, 0, b, 0)
+        assert all(a.labels[i] == b.labels[j] for i, j in found.items())
+        up = [{k: i for i in range(len(t.kids)) for k in t.kids[i]} for t in (a, b)]
+        assert all(i == 0 or found[up[0][i]] == up[1][j] for i, j in found.items())
+    for _ in range(50):
+        named = html_text.Tree.of(html_text.slots(html_text.parse("<body>" + "<div><p>a</div><ul><li>x<li>y</ul>" * rnd.randint(1, 4))))
+        again = html_text.Tree.load(named.dump())
+        assert (again.labels, again.kids) == (named.labels, named.kids)
+
+
+def test_children_beyond_the_bound_match_by_number(monkeypatch):
+    monkeypatch.setattr(html_text, "MATCHED_PAIRS", 3)
+    a, b = (html_text.Tree(["t", *labels], [[*range(1, len(labels) + 1)], *[[] for _ in labels]]) for labels in ("pqp", "ppq"))
+    assert html_text.matched(a, b) == {0: 0, 1: 1, 2: 3, 3: 2}
