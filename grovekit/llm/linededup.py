@@ -1,13 +1,15 @@
 """Line deduplication by a segment-partition edit join.
 
-A line is split into threshold-plus-one segments, of which one at least stands
+Equal lines of any length are one class. Beyond that, lines are near within one
+edit for every ``SHARE`` code points of the shorter one, up to a threshold. A
+line is split into its threshold plus one segments, of which one at least stands
 unchanged, and little moved, in any line within the threshold. Lines enter an
 index by their segments; each line probes it with the substrings that can match
 a segment of a line of its own length or a shorter one (the length-aware,
 multi-match-aware selection of Li et al., "Pass-Join", 2011). Pairs that meet
 and have near counts of characters are verified by banded bit-parallel edit
-distance. Lines that are linked, directly or along others, are one class, and
-so are equal lines; the first line of a class stays.
+distance. Lines that are linked, directly or along others, are one class; the
+first line of a class stays. Blank lines part paragraphs and always stay.
 """
 
 from __future__ import annotations
@@ -21,16 +23,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import lookup, pieces
+from grovekit.llm.common import LEAST_TILE, MOST_TILE, groups, lookup, partitions, pieces, tiled
 from grovekit.llm.editdistance import within
 from grovekit.operators.components import connected_components
 from grovekit.storage import materialize
 
-THRESHOLD = 2
-#: Shorter lines are common phrases, not copies; they always stay.
-LEAST_CHARS = 40
-#: Keys of more lines than this are compared where they meet, in tiles, and give links, not pairs.
-PAIRED, TILE = 64, 1024
+#: Edits at most, and code points of the shorter line that each of them takes.
+THRESHOLD, SHARE = 2, 20
+#: What a line has only of is blank.
+BLANK = " \t\r\x0b\x0c"
+#: Keys of more lines than this are compared in tiles, and give links, not pairs.
+PAIRED = 64
+#: Longer lines are hashed segment by segment, which holds no array of numbers for each of their points.
+LONG = 1 << 20
+#: Lines that a task remembers so as not to deal them twice.
+REMEMBERED = 200_000
 #: Candidate lines up to so many (8 MB of ids) are broadcast to fetch their texts.
 BROADCAST_IDS = 1_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -49,6 +56,15 @@ def line_id(line: str) -> tuple[int, int]:
     return lo - (lo >> 63 << 64), hi - (hi >> 63 << 64)
 
 
+def is_blank(line: str) -> bool:
+    return not line.strip(BLANK)
+
+
+def allowed(length: int, threshold: int = THRESHOLD, share: int = SHARE) -> int:
+    """Edits that make a near line of one with ``length`` code points."""
+    return min(threshold, length // share)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, _U)
     out[0] = 1
@@ -60,44 +76,89 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def probes(lines: list[str], threshold: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _moves(threshold: int, drop: int, j: int) -> range:
+    """By how much later segment j of a line that is ``drop`` shorter can stand in a probing line."""
+    return range(max(-j, drop - (threshold - j)), min(j, drop + threshold - j) + 1)
+
+
+def _segment(length, j: int, k: int):
+    """Start and length of segment j of k; the last ones have the rest."""
+    base, longer = length // k, length % k
+    return j * base + np.maximum(0, j - (k - longer)), base + (j >= k - longer)
+
+
+def _points(text: str) -> np.ndarray:
+    return _mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(_U) + _U(1))
+
+
+def probes(lines: list[str], threshold: int = THRESHOLD, share: int = SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, kind, line number): kind 0 is an index entry, which also probes; 1 only probes.
 
     ``drop`` is by how much the indexed line is shorter than the probing one, j
-    the segment, and o by how much later it stands in the probing line.
+    the segment, and o by how much later it stands in the probing line. The
+    indexed line's length sets the edits, and so the segments.
     """
-    size = np.array([len(x) for x in lines], np.int64)
+    keys, kinds, owners = [], [], []
+
+    def add(key: np.ndarray, own: np.ndarray, j: int, kind: int, number: np.ndarray) -> None:
+        keys.append(_mix(key ^ _mix((own * 64 + j).astype(_U) * _U(ODD))))
+        kinds.append(np.full(len(key), kind, np.int8))
+        owners.append(number)
+
+    long_ones = [i for i, x in enumerate(lines) if len(x) > LONG]
+    number = np.array([i for i, x in enumerate(lines) if len(x) <= LONG], np.int64)
+    size = np.array([len(lines[i]) for i in number.tolist()], np.int64)
     start = np.cumsum(size) - size
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    points = _points("".join(lines[i] for i in number.tolist()))
     n = len(points)
     summed = np.zeros(n + 1, _U)
-    np.cumsum(_mix(points + _U(1)) * _powers(ODD, n), dtype=_U, out=summed[1:])
+    np.cumsum(points * _powers(ODD, n) if n else points, dtype=_U, out=summed[1:])
     back = _powers(INVERSE, n + 1)
-    number = np.arange(len(lines))
-    k = threshold + 1
-    keys, kinds, owners = [], [], []
     for drop in range(threshold + 1):
         own = size - drop
-        base, longer = own // k, own % k
-        for j in range(k):
-            first, length = j * base + np.maximum(0, j - (k - longer)), base + (j >= k - longer)
-            for o in range(max(-j, drop - (threshold - j)), min(j, drop + threshold - j) + 1):
-                ok = (own >= least) & (first + o >= 0) & (first + o + length <= size)
-                a = (start + first + o)[ok]
-                key = (summed[a + length[ok]] - summed[a]) * back[a]
-                keys.append(_mix(key ^ _mix((own[ok] * 64 + j).astype(_U) * _U(ODD))))
-                kinds.append(np.full(len(a), int(drop > 0 or o != 0), np.int8))
-                owners.append(number[ok])
-    return np.concatenate(keys), np.concatenate(kinds), np.concatenate(owners)
+        edits = np.minimum(threshold, own // share)
+        for t in range(max(drop, 1), threshold + 1):
+            at = np.flatnonzero(edits == t)
+            for j in range(t + 1):
+                first, length = _segment(own[at], j, t + 1)
+                for o in _moves(t, drop, j):
+                    ok = (first + o >= 0) & (first + o + length <= size[at])
+                    a, m = start[at][ok] + (first + o)[ok], length[ok]
+                    add((summed[a + m] - summed[a]) * back[a], own[at][ok], j, int(drop > 0 or o != 0), number[at][ok])
+    for i in long_ones:
+        for drop in range(threshold + 1):
+            own = len(lines[i]) - drop
+            t = allowed(own, threshold, share)
+            for j in range(t + 1 if t >= max(drop, 1) else 0):
+                first, length = (int(x) for x in _segment(own, j, t + 1))
+                for o in _moves(t, drop, j):
+                    if first + o >= 0 and first + o + length <= len(lines[i]):
+                        key = _U(0)
+                        for cut in range(0, length, LONG):
+                            part = _points(lines[i][first + o + cut : first + o + min(cut + LONG, length)])
+                            key += (part * _powers(ODD, len(part))).sum(dtype=_U) * _U(pow(ODD, cut, 1 << 64))
+                        add(np.array([key], _U), np.array([own]), j, int(drop > 0 or o != 0), np.array([i]))
+    none = [np.empty(0, _U)], [np.empty(0, np.int8)], [np.empty(0, np.int64)]
+    return tuple(np.concatenate(have or empty) for have, empty in zip((keys, kinds, owners), none, strict=True))
 
 
 def bags(lines: list[str]) -> np.ndarray:
     """16 counts of characters by a hash of them, modulo 16, in 64 bits."""
-    size = np.array([len(x) for x in lines], np.int64)
-    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
-    bucket = (points * _U(ODD) >> _U(60)).astype(np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(lines)), size) * 16 + bucket, minlength=16 * len(lines)).reshape(-1, 16)
-    return ((counts & 15).astype(_U) << (_U(4) * np.arange(16, dtype=_U))).sum(axis=1, dtype=_U)
+    out = np.zeros((len(lines), 16), np.int64)
+    at = 0
+    while at < len(lines):
+        end, held = at + 1, len(lines[at])
+        while end < len(lines) and held + len(lines[end]) <= LONG:
+            held += len(lines[end])
+            end += 1
+        owner = np.repeat(np.arange(end - at), [len(x) for x in lines[at:end]])
+        flat = "".join(lines[at:end])
+        for cut in range(0, len(flat), LONG):
+            points = np.frombuffer(flat[cut : cut + LONG].encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+            bucket = (points * _U(ODD) >> _U(60)).astype(np.int64)
+            out[at:end] += np.bincount(owner[cut : cut + LONG] * 16 + bucket, minlength=16 * (end - at)).reshape(-1, 16)
+        at = end
+    return ((out & 15).astype(_U) << (_U(4) * np.arange(16, dtype=_U))).sum(axis=1, dtype=_U)
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,80 +170,89 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(threshold: int, least: int):
+def _dealt(threshold: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in pieces(batches, "text", 2_000_000):
-            lines = list(dict.fromkeys(x for t in b["text"].to_pylist() for x in lines_of(t) if len(x) >= least))
-            if lines:
-                key, kind, own = probes(lines, threshold, least)
-                ids = np.array([line_id(x)[0] for x in lines], np.int64)
-                yield pa.record_batch({
-                    "key": pa.array(key.view(np.int64)), "kind": pa.array(kind), "line": pa.array(ids[own]), "bag": pa.array(bags(lines)[own].view(np.int64)),
-                })
+            found = dict.fromkeys(x for t in b["text"].to_pylist() for x in lines_of(t) if allowed(len(x), threshold, share) and not is_blank(x))
+            ids = {x: i for x in found if (i := line_id(x)[0]) not in seen}
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(ids.values())
+            if ids:
+                lines = list(ids)
+                key, kind, own = probes(lines, threshold, share)
+                line = np.array(list(ids.values()), np.int64)
+                yield pa.record_batch({"key": pa.array(key.view(np.int64)), "kind": pa.array(kind), "line": pa.array(line[own]), "bag": pa.array(bags(lines)[own].view(np.int64))})
 
     return run
 
 
-def _tasks(size: int, tile: int) -> list[tuple[int, int]]:
-    """Pairs of tiles, in order, that cover all pairs of a key's ``size`` lines."""
-    n = -(-size // tile)
-    return [(a, b) for a in range(n) for b in range(a, n)]
-
-
-def _met(threshold: int, paired: int = PAIRED, tile: int = TILE):
-    """Different lines that share a key, one of them as an index entry.
+def _met(threshold: int, paired: int = PAIRED):
+    """Different lines that share a key, one of them as an index entry, from rows sorted by key, line and kind.
 
-    As pairs with near bags (task -1), where the key has few lines; else each
-    line goes to the tasks of its tile, as (line, key, task, part and kind).
+    As pairs with near bags (kind -1), where the key has few lines; else each
+    line as (line, key, kind), to be compared in tiles. A key's rows pass
+    through, however many they are; ``paired`` of them at most are held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        key, kind, line, bag = (whole[c].to_numpy() for c in ("key", "kind", "line", "bag"))
-        del whole, held
-        order = np.lexsort((kind, line, key))
-        key, kind, line, bag = key[order], kind[order], line[order], bag[order].view(_U)
-        new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
-        key, kind, line, bag = key[new], kind[new], line[new], bag[new]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
-
-        def out(u: np.ndarray, v: np.ndarray, task: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-            return pa.record_batch({"u": pa.array(u), "v": pa.array(v), "task": pa.array(task.astype(np.int64)), "part": pa.array(part.astype(np.int8))})
-
-        for f, n in zip(first[size > paired].tolist(), size[size > paired].tolist(), strict=True):
-            if not kind[f : f + n].all():
-                for task, (x, y) in enumerate(_tasks(n, tile)):
-                    at = np.concatenate([f + np.arange(t * tile, min((t + 1) * tile, n)) for t in dict.fromkeys((x, y))])
-                    yield out(line[at], key[at], np.full(len(at), task), 2 * ((at - f) // tile != x) + kind[at])
-        at, step = np.flatnonzero(np.repeat(size <= paired, size)), 0
-        while len(at):
-            step += 1
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            to = at + step
-            hit = (kind[at] == 0) | (kind[to] == 0)
-            i, j = at[hit], to[hit]
-            near = bag_distance(bag[i], bag[j]) <= 2 * threshold
-            i, j = line[i[near]], line[j[near]]
-            if len(i):
-                pair = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
-                yield out(pair[0], pair[1], np.full(pair.shape[1], -1), np.zeros(pair.shape[1]))
+        def out(u: np.ndarray, v: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"u": pa.array(u), "v": pa.array(v), "kind": pa.array(kind.astype(np.int8))})
+
+        def cut(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+            """What is done of the sorted rows; leaves those of the last key in ``columns``, unless they are known to be many."""
+            nonlocal many
+            key, kind, line, bag = columns
+            new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
+            key, kind, line, bag = key[new], kind[new], line[new], bag[new]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[first, len(key)])
+            known = many if many is not None and int(key[0]) == many else None
+            large = size > paired
+            large[0] |= known is not None
+            end = len(key) if last or large[-1] else int(first[-1])
+            many = int(key[-1]) if large[-1] and not last else None
+            whole = np.repeat(large, size)
+            if whole[:end].any():
+                at = np.flatnonzero(whole[:end])
+                yield out(line[at], key[at], kind[at])
+            at, step = np.flatnonzero(~whole[:end]), 0
+            while len(at):
+                step += 1
+                at = at[at + step < end]
+                at = at[key[at] == key[at + step]]
+                to = at + step
+                hit = (kind[at] == 0) | (kind[to] == 0)
+                i, j = at[hit], to[hit]
+                near = bag_distance(bag[i], bag[j]) <= 2 * threshold
+                i, j = line[i[near]], line[j[near]]
+                if len(i):
+                    pair = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1)
+                    yield out(pair[0], pair[1], np.full(pair.shape[1], -1))
+            columns[:] = [key[end:], kind[end:], line[end:], bag[end:]]
+
+        many: int | None = None
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int64), np.empty(0, _U)]
+        for b in batches:
+            if b.num_rows:
+                got = (b["key"].to_numpy(), b["kind"].to_numpy(), b["line"].to_numpy(), b["bag"].to_numpy().view(_U))
+                held = [np.concatenate(x) for x in zip(held, got, strict=True)]
+                if len(held[0]) > 1 << 16:
+                    yield from cut(held, False)
+        if len(held[0]):
+            yield from cut(held, True)
 
     return run
 
 
-def tile_links(lines: list[int], texts: list[str], parts: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Links that join all near lines of a task, no more of them than lines.
+def tile_links(lines: list[int], texts: list[str], kinds: list[int], parts: list[int], threshold: int = THRESHOLD, share: int = SHARE) -> list[tuple[int, int]]:
+    """Links that join all near lines of a task, no more of them than lines; with two parts, of lines of different ones.
 
-    A part's lowest bit is the kind, the next whether the line is of the second
-    tile; pairs within one tile are left to that tile's own task if there are two.
+    Lines that only probe the key (kind 1) are not compared with one another.
     """
-    bag, part = bags(texts), np.array(parts)
-    two = bool((part > 1).any())
+    bag, kind, part = bags(texts), np.array(kinds), np.array(parts)
+    two = bool(part.any())
     up = list(range(len(lines)))
 
     def root(x: int) -> int:
@@ -194,74 +264,84 @@ def tile_links(lines: list[int], texts: list[str], parts: list[int], threshold:
     out = []
     for i in range(len(lines)):
         j = np.arange(i + 1, len(lines))
-        j = j[(part[j] & part[i] & 1) == 0]
+        j = j[(kind[j] & kind[i]) == 0]
         if two:
-            j = j[part[j] >> 1 != part[i] >> 1]
+            j = j[part[j] != part[i]]
         j = j[bag_distance(bag[j], np.broadcast_to(bag[i], len(j))) <= 2 * threshold]
         for k in j.tolist():
             x, y = root(i), root(k)
-            if x != y and within(texts[i], texts[k], threshold):
+            if x != y and near(texts[i], texts[k], threshold, share):
                 up[max(x, y)] = min(x, y)
                 out.append((lines[i], lines[k]))
     return out
 
 
-def _tiled(threshold: int):
+def near(a: str, b: str, threshold: int = THRESHOLD, share: int = SHARE) -> bool:
+    return within(a, b, allowed(min(len(a), len(b)), threshold, share))
+
+
+def _tiled(threshold: int, share: int):
     """Rows sorted by key and task: each task's links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in pieces(batches, "content"):
-                yield from zip(*(b[c].to_pylist() for c in ("v", "task", "u", "content", "part")), strict=True)
+                yield from zip(*(b[c].to_pylist() for c in ("v", "task", "node", "content", "kind", "part")), strict=True)
 
         for _, group in itertools.groupby(rows(), key=lambda r: r[:2]):
-            lines, texts, parts = map(list, zip(*(r[2:] for r in group), strict=True))
-            if found := tile_links(lines, texts, parts, threshold):
+            lines, texts, kinds, parts = map(list, zip(*(r[2:] for r in group), strict=True))
+            if found := tile_links(lines, texts, kinds, parts, threshold, share):
                 u, v = zip(*found, strict=True)
                 yield pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _texts(least: int):
+def _texts(threshold: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            found = {x: line_id(x)[0] for t in b["text"].to_pylist() for x in lines_of(t) if len(x) >= least}
+            found = {x: line_id(x) for t in b["text"].to_pylist() for x in lines_of(t) if allowed(len(x), threshold, share) and not is_blank(x)}
             if found:
-                yield pa.record_batch({"line": pa.array(found.values(), pa.int64()), "content": pa.array(found, pa.string())})
+                line, rest = zip(*found.values(), strict=True)
+                yield pa.record_batch({"line": pa.array(line, pa.int64()), "rest": pa.array(rest, pa.int64()), "content": pa.array(found, pa.string())})
 
     return run
 
 
-def _verified(threshold: int):
+def _verified(threshold: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = [within(x, y, threshold) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
-            out = b.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+            found = [near(x, y, threshold, share) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist(), strict=True)]
+            out = b.select(["u", "v"]).filter(pa.array(found, pa.bool_()))
             if out.num_rows:
                 yield out
 
     return run
 
 
-def line_links(docs: DataFrame, threshold: int = THRESHOLD, least: int = LEAST_CHARS, paired: int = PAIRED, tile: int = TILE) -> DataFrame:
-    """(u, v): ids of different lines of ``docs`` (a text column) within the threshold of one another."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.mapInArrow(_dealt(threshold, least), "key long, kind byte, line long, bag long")
-    met = dealt.repartition(parts, "key").mapInArrow(_met(threshold, paired, tile), "u long, v long, task long, part byte")
-    met = materialize(met.distinct(), "line-pairs")
-    pairs, shared = met.where("task < 0").select("u", "v"), met.where("task >= 0")
+def near_classes(docs: DataFrame, threshold: int = THRESHOLD, share: int = SHARE, paired: int = PAIRED, tile: int = LEAST_TILE, most: int = MOST_TILE) -> DataFrame:
+    """(line, rest, c) for the lines of ``docs`` (a text column) that are near others: equal c for those of one class.
+
+    Lines meet by 64 bits of their content, and are told apart by 128 and by the content itself.
+    """
+    dealt = docs.mapInArrow(_dealt(threshold, share), "key long, kind byte, line long, bag long")
+    ordered = dealt.repartition(partitions(docs, 2), "key").sortWithinPartitions("key", "line", "kind")
+    met = materialize(ordered.mapInArrow(_met(threshold, paired), "u long, v long, kind byte").distinct(), "line-pairs")
+    pairs, shared = met.where("kind < 0").select("u", "v"), met.where("kind >= 0")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("line")).unionByName(shared.select(F.col("u").alias("line")))
     wanted = materialize(ids.distinct(), "line-ids")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    found = docs.mapInArrow(_texts(least), "line long, content string").join(small, "line", "left_semi")
-    texts = materialize(found.groupBy("line").agg(F.min("content").alias("content")), "line-texts")
-    named = lambda end, content: texts.select(F.col("line").alias(end), F.col("content").alias(content))
-    both = pairs.join(named("u", "x"), "u").join(named("v", "y"), "v").select("u", "v", "x", "y")
-    tasks = shared.join(named("u", "content"), "u").repartition(parts, "v", "task").sortWithinPartitions("v", "task", "part", "u")
-    verified = both.mapInArrow(_verified(threshold), "u long, v long")
-    return verified.unionByName(tasks.select("v", "task", "u", "content", "part").mapInArrow(_tiled(threshold), "u long, v long"))
+    found = docs.mapInArrow(_texts(threshold, share), "line long, rest long, content string").join(small, "line", "left_semi")
+    texts = found.groupBy("line", "rest").agg(F.min("content").alias("content")).withColumn("node", F.monotonically_increasing_id())
+    texts = materialize(texts, "line-texts")  # once written, a node's number is fixed
+    named = lambda end, node, content: texts.select(F.col("line").alias(end), F.col("node").alias(node), F.col("content").alias(content))
+    both = pairs.join(named("u", "i", "x"), "u").join(named("v", "j", "y"), "v").select(F.col("i").alias("u"), F.col("j").alias("v"), "x", "y")
+    verified = both.mapInArrow(_verified(threshold, share), "u long, v long")
+    tasks = tiled(shared, "v", "u", most=most, least=tile, alone=0).join(named("u", "node", "content"), "u")
+    tasks = tasks.repartition(partitions(docs), "v", "task").sortWithinPartitions("v", "task", "part", "node")
+    linked = tasks.select("v", "task", "node", "content", "kind", "part").mapInArrow(_tiled(threshold, share), "u long, v long")
+    label = connected_components(verified.unionByName(linked)).select(F.col("v").alias("node"), "c")
+    return texts.select("line", "rest", "node").join(label, "node").select("line", "rest", "c")
 
 
 def _copy(text_col: str) -> Column:
@@ -269,10 +349,10 @@ def _copy(text_col: str) -> Column:
     return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
 
 
-def _places(least: int):
+def _places():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            rows = [(i, c, n, *line_id(x)) for i, c, t in zip(b["doc_id"].to_pylist(), b["copy"].to_pylist(), b["text"].to_pylist(), strict=True) for n, x in enumerate(lines_of(t)) if len(x) >= least]
+            rows = [(i, c, n, *line_id(x)) for i, c, t in zip(b["doc_id"].to_pylist(), b["copy"].to_pylist(), b["text"].to_pylist(), strict=True) for n, x in enumerate(lines_of(t)) if not is_blank(x)]
             if rows:
                 cols = zip(*rows, strict=True)
                 yield pa.record_batch({k: pa.array(c, kind) for (k, kind), c in zip((("doc_id", pa.int64()), ("copy", pa.int64()), ("line_no", pa.int32()), ("line", pa.int64()), ("rest", pa.int64())), cols, strict=True)})
@@ -280,8 +360,8 @@ def _places(least: int):
     return run
 
 
-def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LEAST_CHARS, paired: int = PAIRED, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every line of at least ``least`` code points: doc_id, copy, line_no (from 0), class_lines, first_doc, first_copy, first_line.
+def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, share: int = SHARE, paired: int = PAIRED, tile: int = LEAST_TILE, most: int = MOST_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every line that isn't blank: doc_id, copy, line_no (from 0), class_lines, first_doc, first_copy, first_line.
 
     Lines end at \\n. A class is the lines that are equal or linked; its first
     line is that of the smallest id, then number. Documents with equal ids and
@@ -289,10 +369,10 @@ def line_classes(docs: DataFrame, *, threshold: int = THRESHOLD, least: int = LE
     and different texts apart. Documents without id come last.
     """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _copy(text_col).alias("copy"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    places = materialize(source.mapInArrow(_places(least), "doc_id long, copy long, line_no int, line long, rest long"), "line-places")
-    label = connected_components(line_links(source.select("text"), threshold, least, paired, tile)).select(F.col("v").alias("line"), "c")
+    places = materialize(source.mapInArrow(_places(), "doc_id long, copy long, line_no int, line long, rest long"), "line-places")
+    label = near_classes(source.select("text"), threshold, share, paired, tile, most)
     lines = places.groupBy("line", "rest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "copy")).alias("first"))
-    lines = materialize(lines.join(label, "line", "left"), "line-groups")
+    lines = materialize(lines.join(label, ["line", "rest"], "left"), "line-groups")
     linked = lines.where("c is not null")
     classes = linked.groupBy("c").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("class_lines"), F.min("first").alias("of_class"))
     linked = lookup(linked, materialize(classes, "line-classes"), "c", "lines").select("line", "rest", "n", "class_lines", F.col("of_class").alias("first"))

@@ -70,11 +70,11 @@ PLAIN = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 27)])
 LINES = f"""
     WITH RECURSIVE t AS (
         SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
-    p AS MATERIALIZED (SELECT * FROM t WHERE length(line) >= {linededup.LEAST_CHARS}),
+    p AS MATERIALIZED (SELECT * FROM t WHERE trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
     d AS MATERIALIZED (SELECT line, row_number() OVER (ORDER BY line) AS id, length(line) AS n, translate(line, '{ACCENTED}', {PLAIN}) AS plain,
         {", ".join(f"length(line) - length(replace(line, '{c}', '')) AS n_{c}" for c in LETTERS)} FROM (SELECT DISTINCT line FROM p)),
-    near AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON b.n >= a.n AND b.n <= a.n + {linededup.THRESHOLD} AND (b.n > a.n OR b.id > a.id)
-        AND CASE WHEN {" + ".join(f"abs(a.n_{c} - b.n_{c})" for c in LETTERS)} <= {2 * linededup.THRESHOLD} THEN levenshtein(a.plain, b.plain) <= {linededup.THRESHOLD} ELSE false END),
+    near AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM d a JOIN d b ON a.n >= {linededup.SHARE} AND b.n >= a.n AND b.n <= a.n + least({linededup.THRESHOLD}, a.n // {linededup.SHARE}) AND (b.n > a.n OR b.id > a.id)
+        AND CASE WHEN {" + ".join(f"abs(a.n_{c} - b.n_{c})" for c in LETTERS)} <= {2 * linededup.THRESHOLD} THEN levenshtein(a.plain, b.plain) <= least({linededup.THRESHOLD}, a.n // {linededup.SHARE}) ELSE false END),
     links AS (SELECT u, v FROM near UNION ALL SELECT v, u FROM near),
     reach(id, top) AS (SELECT u, u FROM links UNION SELECT links.v, reach.top FROM reach JOIN links ON links.u = reach.id),
     label AS (SELECT id, min(top) AS top FROM reach GROUP BY id),

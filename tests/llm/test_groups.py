@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from grovekit.llm import exact_dedup, linededup, simhash
+from grovekit.llm import common, exact_dedup, linededup, simhash
 from grovekit.llm.editdistance import within
 
 from .conftest import odd_rows, prose
@@ -215,7 +215,8 @@ def edited_lines(rnd, n, least):
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_every_pair_of_near_lines_meets(threshold):
     lines = edited_lines(random.Random(threshold), 40, 40)
-    key, kind, own = linededup.probes(lines, threshold, 30)
+    lines += edited_lines(random.Random(threshold + 9), 20, 10)
+    key, kind, own = linededup.probes(lines, threshold, 11)
     index, probe = defaultdict(set), defaultdict(set)
     for k, t, o in zip(key.tolist(), kind.tolist(), own.tolist(), strict=True):
         probe[o].add(k)
@@ -226,21 +227,25 @@ def test_every_pair_of_near_lines_meets(threshold):
     for a in range(len(lines)):
         met = set().union(*(index[k] for k in probe[a]))
         for b in range(len(lines)):
-            if a != b and min(len(lines[a]), len(lines[b])) >= 30 and len(lines[a]) >= len(lines[b]) and within(lines[a], lines[b], threshold):
+            if a != b and len(lines[a]) >= len(lines[b]) and lines[a] != lines[b] and within(lines[a], lines[b], min(threshold, len(lines[b]) // 11)):
                 near += 1
                 assert b in met
                 assert linededup.bag_distance(bags[[a]], bags[[b]])[0] <= 2 * threshold
     assert near > 50
 
 
-def expected_drops(docs, least, threshold):
+def near_lines(a, b):
+    return within(a, b, min(linededup.THRESHOLD, min(len(a), len(b)) // linededup.SHARE))
+
+
+def expected_drops(docs):
     """docs: (id, text); the numbers of the lines that go, by id."""
     places = defaultdict(list)
     for i, text in docs:
         for n, x in enumerate((text or "").split("\n")):
-            if len(x) >= least:
+            if x.strip(" \t\r\v\f"):
                 places[x].append((i is None, i, n))
-    label = linked(places, lambda a, b: within(a, b, threshold))
+    label = linked(places, near_lines)
     first: dict = {}
     for x, p in places.items():
         first[label[x]] = min(*p, first[label[x]]) if label[x] in first else min(p)
@@ -254,42 +259,82 @@ def expected_drops(docs, least, threshold):
 
 def line_docs():
     rnd = random.Random(12)
-    lines = edited_lines(rnd, 12, 40) + ["short", "", "short too"]
+    lines = edited_lines(rnd, 10, 40) + edited_lines(rnd, 4, 22) + ["short", "", "short too", "short to", " \t", "\u00a0"]
     return [(i, "\n".join(rnd.choices(lines, k=rnd.randint(1, 7)))) for i in range(30)] + [(31, None), (32, ""), (33, "\n\n"), (34, lines[0] + "\n" + lines[0])]
 
 
 def test_lines(make):
     docs = line_docs()
     frame = make(docs)
-    drops = expected_drops(docs, linededup.LEAST_CHARS, linededup.THRESHOLD)
+    drops = expected_drops(docs)
     report = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in linededup.line_report(frame).collect()}
     assert report == {i: (len((t or "").split("\n")), len(drops[i]), ",".join(map(str, sorted(drops[i])))) for i, t in docs}
     texts = {r.doc_id: r.text for r in linededup.dedup_lines(frame).collect()}
     assert texts == {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in drops[i]) for i, t in docs}
 
 
-@pytest.mark.parametrize(("paired", "tile"), [(1, 1000), (1, 3), (4, 5)])
-def test_large_keys_lose_no_link(paired, tile):
-    rnd = random.Random(paired + tile)
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+@pytest.mark.parametrize("paired", [1, 4, 64])
+def test_keys_give_pairs_or_lines(paired, batch):
+    """Every pair that shares a key comes as such, or both of its lines come under a key, however the rows are cut."""
+    rnd = random.Random(paired)
     base = prose(rnd, 14)[:60].ljust(60, "z")
     lines = list(dict.fromkeys([f"{base[:50]}{a}{b}{base[52:]}" for a in "abcd" for b in "wxyz"] + edited_lines(rnd, 6, 40)))
-    key, kind, own = linededup.probes(lines, 2, 40)
+    key, kind, own = linededup.probes(lines)
     bag = linededup.bags(lines)[own]
-    batch = pa.record_batch({"key": pa.array(key.view(np.int64)), "kind": pa.array(kind), "line": pa.array(own), "bag": pa.array(bag.view(np.int64))})
-    links, tasks = set(), defaultdict(list)
-    for b in linededup._met(2, paired, tile)(iter([batch])):
-        for u, v, task, part in zip(*(b[c].to_pylist() for c in ("u", "v", "task", "part")), strict=True):
-            if task < 0:
-                if within(lines[u], lines[v], 2):
-                    links.add((u, v))
-            else:
-                tasks[v, task].append((u, lines[u], part))
-    for rows in tasks.values():
-        assert len(rows) <= 2 * tile
-        links.update(linededup.tile_links(*map(list, zip(*rows, strict=True)), 2))
-    assert tasks
-    expected = linked(range(len(lines)), lambda a, b: within(lines[a], lines[b], 2) and min(len(lines[a]), len(lines[b])) >= 40)
-    assert linked(range(len(lines)), lambda a, b: (a, b) in links or (b, a) in links) == expected
+    rows = sorted(zip(key.view(np.int64).tolist(), own.tolist(), kind.tolist(), bag.view(np.int64).tolist(), strict=True))
+    batches = [pa.record_batch({c: pa.array([r[i] for r in rows[at : at + batch]], t) for i, (c, t) in enumerate((("key", pa.int64()), ("line", pa.int64()), ("kind", pa.int8()), ("bag", pa.int64())))}) for at in range(0, len(rows), batch)]
+    by_key, links, shared = defaultdict(dict), set(), defaultdict(dict)
+    for k, o, t, _ in rows:
+        by_key[k].setdefault(o, t)
+    for b in linededup._met(2, paired)(iter(batches)):
+        for u, v, t in zip(*(b[c].to_pylist() for c in ("u", "v", "kind")), strict=True):
+            links.add((u, v)) if t < 0 else shared[v].update({u: t})
+    assert {k for k in by_key if len(by_key[k]) > paired} == set(shared)
+    assert all(shared[k] == by_key[k] for k in shared)
+    for u in range(len(lines)):
+        for v in range(u):
+            if near_lines(lines[u], lines[v]):
+                assert (v, u) in links or any(u in s and v in s for s in shared.values())
+
+
+def test_tiles_hold_every_two_rows(spark):
+    rows = [("hot", i) for i in range(700)] + [("warm", i) for i in range(90)] + [("cold", 1), ("cold", 2)]
+    frame = spark.createDataFrame(rows, "key string, node long").repartition(3)
+    found = common.tiled(frame, "key", "node", most=100, least=16, alone=80).collect()
+    tasks = defaultdict(list)
+    for r in found:
+        tasks[r.key, r.task].append((r.node, r.part))
+    for key, n in (("hot", 700), ("warm", 90), ("cold", 2)):
+        met = set()
+        for (k, _), members in tasks.items():
+            if k == key:
+                two = {p for _, p in members} == {0, 1}
+                met |= {(a, b) for a, p in members for b, q in members if a < b and (p != q or not two)}
+        nodes = [i for k, i in rows if k == key]
+        assert met == {(a, b) for a in nodes for b in nodes if a < b}
+    assert max(map(len, tasks.values())) < 100 and len({t for k, t in tasks if k == "cold"}) == 1
+
+
+@pytest.mark.parametrize("limit", [1, 5, 1000])
+def test_groups_are_whole(limit):
+    rnd = random.Random(limit)
+    rows = sorted((rnd.randint(0, 9), rnd.randint(0, 2)) for _ in range(120))
+    batches = [pa.record_batch({"a": pa.array([r[0] for r in rows[i : i + 4]]), "b": pa.array([r[1] for r in rows[i : i + 4]])}) for i in range(0, 120, 4)]
+    tables = list(common.groups(iter(batches), "a", "b", limit=limit))
+    found = [list(zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)) for t in tables]
+    assert [r for t in found for r in t] == rows
+    assert all(x[-1] != y[0] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_long_lines_meet_their_like(monkeypatch):
+    rnd = random.Random(77)
+    lines = edited_lines(rnd, 10, 60)
+    plain = [x.tolist() for x in linededup.probes(lines)]
+    bags = linededup.bags(lines).tolist()
+    monkeypatch.setattr(linededup, "LONG", 64)
+    assert sorted(zip(*(x.tolist() for x in linededup.probes(lines)), strict=True)) == sorted(zip(*plain, strict=True))
+    assert linededup.bags(lines).tolist() == bags
 
 
 def test_lines_by_tiles(make, monkeypatch):
@@ -297,13 +342,13 @@ def test_lines_by_tiles(make, monkeypatch):
     frame = make(docs)
     expected = sorted(map(tuple, linededup.line_report(frame).collect()))
     monkeypatch.setattr(linededup, "BROADCAST_IDS", 0)
-    assert sorted(map(tuple, linededup.line_report(frame, paired=1, tile=2).collect())) == expected
+    assert sorted(map(tuple, linededup.line_report(frame, paired=1, tile=2, most=4).collect())) == expected
 
 
 def test_lines_of_odd_rows(odd, none):
     out = linededup.dedup_lines(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
-    drops = expected_drops([r[:2] for r in odd_rows()], linededup.LEAST_CHARS, linededup.THRESHOLD)
+    drops = expected_drops([r[:2] for r in odd_rows()])
     found = {r.doc_id: set(map(int, r.dropped.split(","))) for r in linededup.line_report(odd).collect() if r.dropped}
     assert found == {i: d for i, d in drops.items() if d}
     assert linededup.dedup_lines(none).count() == 0 and linededup.line_report(none).count() == 0

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grovekit.llm import linededup, mixing, quality, registry
+from grovekit.llm import mixing, quality, registry
 
 from .test_groups import expected_drops, similar_components
 
@@ -32,7 +32,7 @@ def test_stages(spark):
     assert rows(good) == {i: r for i, r in rows(docs).items() if scores[i].predicted}
 
     lines = step("lines", good)
-    drops = expected_drops([(r.doc_id, r.text) for r in good.collect()], linededup.LEAST_CHARS, linededup.THRESHOLD)
+    drops = expected_drops([(r.doc_id, r.text) for r in good.collect()])
     texts = {i: "\n".join(x for n, x in enumerate(r.text.split("\n")) if n not in drops[i]) for i, r in rows(good).items()}
     assert {i: (r.text, r.n_chars) for i, r in rows(lines).items()} == {i: (t, len(t)) for i, t in texts.items()}
 
