@@ -189,11 +189,11 @@ def _dealt(threshold: int, share: int):
 
 
 def _met(threshold: int, paired: int = PAIRED):
-    """Different lines that share a key, one of them as an index entry, from rows sorted by key, line and kind.
+    """Different lines that share a key, one of them as an index entry, from rows sorted by key.
 
     As pairs with near bags (kind -1), where the key has few lines; else each
-    line as (line, key, kind), to be compared in tiles. A key's rows pass
-    through, however many they are; ``paired`` of them at most are held.
+    line as (line, key, kind), maybe more than once, to be compared in tiles. A key's
+    rows pass through, however many they are; a chunk of them at most is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,8 @@ def _met(threshold: int, paired: int = PAIRED):
         def cut(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             """What is done of the sorted rows; leaves those of the last key in ``columns``, unless they are known to be many."""
             nonlocal many
-            key, kind, line, bag = columns
+            order = np.lexsort((columns[1], columns[2], columns[0]))
+            key, kind, line, bag = (x[order] for x in columns)
             new = np.r_[True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])]
             key, kind, line, bag = key[new], kind[new], line[new], bag[new]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -325,9 +326,9 @@ def near_classes(docs: DataFrame, threshold: int = THRESHOLD, share: int = SHARE
     Lines meet by 64 bits of their content, and are told apart by 128 and by the content itself.
     """
     dealt = docs.mapInArrow(_dealt(threshold, share), "key long, kind byte, line long, bag long")
-    ordered = dealt.repartition(partitions(docs, 2), "key").sortWithinPartitions("key", "line", "kind")
+    ordered = dealt.repartition(partitions(docs, 2), "key").sortWithinPartitions("key")
     met = materialize(ordered.mapInArrow(_met(threshold, paired), "u long, v long, kind byte").distinct(), "line-pairs")
-    pairs, shared = met.where("kind < 0").select("u", "v"), met.where("kind >= 0")
+    pairs, shared = met.where("kind < 0").select("u", "v"), met.where("kind >= 0").groupBy("u", "v").agg(F.min("kind").alias("kind"))
     ids = pairs.select(F.explode(F.array("u", "v")).alias("line")).unionByName(shared.select(F.col("u").alias("line")))
     wanted = materialize(ids.distinct(), "line-ids")
     small = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
@@ -339,7 +340,7 @@ def near_classes(docs: DataFrame, threshold: int = THRESHOLD, share: int = SHARE
     verified = both.mapInArrow(_verified(threshold, share), "u long, v long")
     tasks = tiled(shared, "v", "u", most=most, least=tile, alone=0).join(named("u", "node", "content"), "u")
     tasks = tasks.repartition(partitions(docs), "v", "task").sortWithinPartitions("v", "task", "part", "node")
-    linked = tasks.select("v", "task", "node", "content", "kind", "part").mapInArrow(_tiled(threshold, share), "u long, v long")
+    linked = materialize(tasks.select("v", "task", "node", "content", "kind", "part").mapInArrow(_tiled(threshold, share), "u long, v long"), "tile-links")
     label = connected_components(verified.unionByName(linked)).select(F.col("v").alias("node"), "c")
     return texts.select("line", "rest", "node").join(label, "node").select("line", "rest", "c")
 
@@ -412,7 +413,7 @@ def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Every row: doc_id, n_lines, n_dropped, dropped (numbers of the lines that go, joined by commas)."""
     gone = dropped_lines(docs, id_col=id_col, text_col=text_col, **options)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    breaks = F.char_length(text) - F.char_length(F.translate(text, "\n", ""))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _copy(text_col).alias("copy"), (breaks + 1).cast("long").alias("n_lines"))
     joined = rows.where("doc_id is not null").join(gone, ["doc_id", "copy"], "left").unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
     return joined.select(

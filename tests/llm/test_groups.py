@@ -289,7 +289,7 @@ def test_keys_give_pairs_or_lines(paired, batch):
         by_key[k].setdefault(o, t)
     for b in linededup._met(2, paired)(iter(batches)):
         for u, v, t in zip(*(b[c].to_pylist() for c in ("u", "v", "kind")), strict=True):
-            links.add((u, v)) if t < 0 else shared[v].update({u: t})
+            links.add((u, v)) if t < 0 else shared[v].update({u: min(t, shared[v].get(u, 1))})
     assert {k for k in by_key if len(by_key[k]) > paired} == set(shared)
     assert all(shared[k] == by_key[k] for k in shared)
     for u in range(len(lines)):
