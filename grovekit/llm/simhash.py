@@ -15,11 +15,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import lookup, pieces
-from grovekit.operators.components import connected_components, spanning_links
+from grovekit.llm.common import MOST_TILE, carried, groups, lookup, partitions, pieces, restored, tiled
+from grovekit.operators.components import connected_components
 from grovekit.storage import materialize
 
 SEED = 42
@@ -93,60 +93,74 @@ def neighbours(segments: int, radius: int) -> list[dict[int, int]]:
     return moves
 
 
+def spanning_links(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Joins ``label`` (in place: each node's smallest node so far) along the links i-j."""
+    while True:
+        a, b = label[i], label[j]
+        far = a != b
+        if not far.any():
+            return label
+        i, j, a, b = i[far], j[far], a[far], b[far]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(nxt := label[label], label):
+            label[:] = nxt
+
+
 def _compare(radius: int):
-    """Links within a tile and between it and its visitors, reduced to a spanning forest."""
+    """Links within a tile and between it and its visitors, reduced to a spanning forest, from rows sorted by tile and task."""
 
-    def links(at: np.ndarray, visits: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-        home = int(np.searchsorted(visits, 1))
+    def links(visits: np.ndarray, part: np.ndarray, fp: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+        home, two = int(np.searchsorted(visits, 1)), bool(part.any())
         label = np.arange(len(fp))
-        if home:
-            for a in range(0, home, BLOCK):
-                for b in range(a, len(fp), 4 * BLOCK):
-                    near = np.bitwise_count(fp[a : min(a + BLOCK, home), None] ^ fp[None, b : b + 4 * BLOCK]) <= radius
-                    i, j = np.nonzero(near)
-                    i, j = i + a, j + b
-                    spanning_links(len(fp), i[i < j], j[i < j], label)
+        for a in range(0, home, BLOCK):
+            for b in range(a, len(fp), 4 * BLOCK):
+                near = np.bitwise_count(fp[a : min(a + BLOCK, home), None] ^ fp[None, b : b + 4 * BLOCK]) <= radius
+                i, j = np.nonzero(near)
+                i, j = i + a, j + b
+                ok = (i < j) & ((part[i] != part[j]) if two else True)
+                spanning_links(i[ok], j[ok], label)
         moved = np.flatnonzero(label != np.arange(len(fp)))
         return [ids[moved], ids[label[moved]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        t, v, fp, ids = (whole[c].to_numpy() for c in ("tile", "visit", "fp", "rep"))
-        fp = fp.view(np.uint64)
-        order = np.lexsort((v, t))
-        t, v, fp, ids = t[order], v[order], fp[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        u, w = [], []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
-            if e - s > 1 and v[s] == 0:
-                a, b = links(t[s:e], v[s:e], fp[s:e], ids[s:e])
-                u.append(a)
-                w.append(b)
-        if u:
-            yield pa.record_batch({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(w))})
+        for whole in groups(batches, "tile", "task"):
+            t, task, part, v, fp, ids = (whole[c].to_numpy() for c in ("tile", "task", "part", "visit", "fp", "rep"))
+            order = np.lexsort((v, task, t))
+            t, task, part, v, fp, ids = t[order], task[order], part[order], v[order], fp[order].view(np.uint64), ids[order]
+            starts = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (task[1:] != task[:-1])])
+            u, w = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
+                if e - s > 1 and v[s] == 0:
+                    a, b = links(v[s:e], part[s:e], fp[s:e], ids[s:e])
+                    u.append(a)
+                    w.append(b)
+            if u:
+                yield pa.record_batch({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(w))})
 
     return run
 
 
-def near_links(points: DataFrame, radius: int, segments: int = 4) -> DataFrame:
+def near_links(points: DataFrame, radius: int, segments: int = 4, most: int = MOST_TILE) -> DataFrame:
     """(u, v): links that connect all of ``points`` (fp long, rep long) within ``radius`` bits, directly or along others.
 
     Each fingerprint is sent to its own tile and, as a visitor, to one of each
     two opposite neighbouring tiles; the number of these depends on the radius
-    alone. With 8 segments the tiles are smaller and the visits more, for
-    inputs of many hundred million fingerprints.
+    alone. Tiles of more than ``most`` rows are split, and every two parts are a
+    task. With 8 segments the tiles are smaller and the visits more.
     """
     homes = [F.struct(tile(F.col("fp"), segments).alias("tile"), F.lit(0).cast("byte").alias("visit"))]
     visits = [F.struct(tile(F.col("fp"), segments, m).alias("tile"), F.lit(1).cast("byte").alias("visit")) for m in neighbours(segments, radius)]
     dealt = points.select(F.explode(F.array(*homes, *visits)).alias("to"), "fp", "rep").select("to.tile", "to.visit", "fp", "rep")
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "tile").mapInArrow(_compare(radius), "u long, v long")
+    tasks = tiled(dealt, "tile", "rep", most=most)
+    ordered = tasks.repartition(partitions(points, 4 * len(visits)), "tile", "task").sortWithinPartitions("tile", "task")
+    return ordered.mapInArrow(_compare(radius), "u long, v long")
+
+
+#: Beyond so many different fingerprints, tiles are those of 8 segments instead of 4; the links are the same.
+FEW_POINTS = 1 << 26
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its group: doc_id, fp (long), component_id.
 
     Fingerprints that differ in ``radius`` bits or fewer are linked;
@@ -160,6 +174,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = materialize(source.mapInArrow(_fingerprint(width), "doc_id long, fp long"), "fingerprints")
     points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
+    segments = segments or (4 if points.count() <= FEW_POINTS else 8)
     label = connected_components(near_links(points.where("rep is not null"), radius, segments))
     named = points.where("rep is not null").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
     table = named.select("fp", "n", F.coalesce("c", "rep").alias("component_id")).unionByName(points.where("rep is null").select("fp", "n", F.col("rep").alias("component_id")))
@@ -168,19 +183,37 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
 
 
 #: Fingerprints for a given similarity: 64-bit words, and smallest hashes by which texts meet.
-WORDS, KEYS = 4, 8
-#: Texts that share a key are compared in tiles of this size, each pair of tiles by a task of its own.
-TILE = 4096
+WORDS, KEYS = 8, 16
+#: Words of a shingle, and the share of words that near duplicates agree in, at least.
+WIDTH, SIMILARITY = 5, 0.85
 
 
-def radius_of(similarity: float, words: int = WORDS) -> int:
-    """Bits that texts of this Jaccard similarity differ in, and one standard deviation more.
+def radius_of(similarity: float, width: int = WIDTH, words: int = WORDS) -> int:
+    """Bits that texts of this similarity differ in.
 
-    Of two sets of like size with similarity j the cosine is 2 j / (1 + j), and
-    a bit differs with the share of the angle in a half turn.
+    Of words that agree in a share s, shingles of ``width`` agree in the share
+    s ** width, which is the cosine of their sets (2 j / (1 + j) for a Jaccard
+    similarity j; the relation is that of Ondov et al., "Mash", 2016). A bit
+    differs with the share of the angle in a half turn.
     """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * words * share + math.sqrt(64 * words * share * (1 - share)))
+    return round(64 * words * math.acos(similarity**width) / math.pi)
+
+
+def jaccard_of(similarity: float, width: int = WIDTH) -> float:
+    """The Jaccard similarity of the shingles of texts that agree in this share of words."""
+    return similarity**width / (2 - similarity**width)
+
+
+def set_majority(h: np.ndarray, words: int) -> np.ndarray:
+    """64 bits for each word: those in over half of the different hashes; the smallest hash decides ties."""
+    h = np.unique(h)
+    out = np.zeros(words, np.uint64)
+    for w in range(words if len(h) else 0):
+        ones = np.unpackbits(_word(h[:1], w).view(np.uint8), bitorder="little").astype(np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += 2 * np.unpackbits(_word(h[at : at + (1 << 16)], w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(ones > len(h), bitorder="little").view(np.uint64)[0]
+    return out
 
 
 def _wide(width: int, words: int, keys: int):
@@ -189,10 +222,10 @@ def _wide(width: int, words: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             hashes = [np.array(shingle_hashes(t, width), np.uint64) for t in b["text"].to_pylist()]
-            fp = np.array([[majority(h, w) for w in range(words)] for h in hashes], np.uint64).reshape(-1, words)
+            fp = np.array([set_majority(h, words) for h in hashes], np.uint64).reshape(-1, words)
             least = [[int((_word(h * s, 1)).min().view(np.int64)) for s in salts] if len(h) else [] for h in hashes]
             cols = {f"fp{w}": pa.array(np.ascontiguousarray(fp[:, w]).view(np.int64)) for w in range(words)}
-            yield pa.record_batch({"doc_id": b["doc_id"], **cols, "keys": pa.array(least, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": b["doc_id"], "copy": b["copy"], **cols, "keys": pa.array(least, pa.list_(pa.int64()))})
 
     return run
 
@@ -203,7 +236,7 @@ def block_links(fp: np.ndarray, part: np.ndarray, radius: int, label: np.ndarray
     Rows come sorted by population count, so blocks whose counts differ beyond
     the radius are skipped; later words are read for what the first ones leave.
     """
-    ones = np.bitwise_count(fp).sum(axis=1)
+    ones = np.bitwise_count(fp).sum(axis=1, dtype=np.int64)
     two = bool(part.any())
     for a in range(0, len(fp), 512):
         for b in range(a, len(fp), 2048):
@@ -219,85 +252,101 @@ def block_links(fp: np.ndarray, part: np.ndarray, radius: int, label: np.ndarray
                 i, j, sums = i[near], j[near], sums[near]
             i, j = i + a, j + b
             ok = (i < j) & ((part[i] != part[j]) if two else True)
-            spanning_links(len(fp), i[ok], j[ok], label)
+            spanning_links(i[ok], j[ok], label)
 
 
 def _blocks(words: int, radius: int):
+    """Links of each task, reduced to a spanning forest, from rows sorted by key and task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held)
-        key, task, part, node = (whole[c].to_numpy() for c in ("key", "task", "part", "node"))
-        fp = np.stack([whole[f"fp{w}"].to_numpy().view(np.uint64) for w in range(words)], axis=1)
-        del whole, held
-        order = np.lexsort((node, np.bitwise_count(fp).sum(axis=1), task, key))
-        key, task, part, node, fp = key[order], task[order], part[order], node[order], fp[order]
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (task[1:] != task[:-1])])
-        u, v = [], []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-            if e - s > 1:
-                label = np.arange(e - s)
-                block_links(fp[s:e], part[s:e], radius, label)
-                moved = np.flatnonzero(label != np.arange(e - s))
-                u.append(node[s:e][moved])
-                v.append(node[s:e][label[moved]])
-        if u:
-            yield pa.record_batch({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
+        for whole in groups(batches, "key", "task", limit=1 << 15):
+            key, task, part, node = (whole[c].to_numpy() for c in ("key", "task", "part", "node"))
+            fp = np.stack([whole[f"fp{w}"].to_numpy().view(np.uint64) for w in range(words)], axis=1)
+            order = np.lexsort((node, np.bitwise_count(fp).sum(axis=1, dtype=np.int64), task, key))
+            key, task, part, node, fp = key[order], task[order], part[order], node[order], fp[order]
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (task[1:] != task[:-1])])
+            u, v = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if e - s > 1:
+                    label = np.arange(e - s)
+                    block_links(fp[s:e], part[s:e], radius, label)
+                    moved = np.flatnonzero(label != np.arange(e - s))
+                    u.append(node[s:e][moved])
+                    v.append(node[s:e][label[moved]])
+            if u:
+                yield pa.record_batch({"u": pa.array(np.concatenate(u)), "v": pa.array(np.concatenate(v))})
 
     return run
 
 
-def similar_links(points: DataFrame, words: int, radius: int, tile: int = TILE) -> DataFrame:
+def similar_links(points: DataFrame, words: int, radius: int, tile: int = MOST_TILE) -> DataFrame:
     """(u, v) between nodes of ``points`` (key, node, fp0 ...) that share a key and differ in ``radius`` bits or fewer.
 
-    Keys of more nodes than a tile holds are split by a hash of the node, and
-    every pair of such parts is a task, so no task gets more than two of them.
+    Keys of more nodes than a tile holds are split, and every two parts are a task.
     """
-    spark = points.sparkSession
-    counts = points.groupBy("key").count().where(F.col("count") > tile)
-    hot = materialize(counts.select("key", F.ceil(F.col("count") / (0.8 * tile)).cast("int").alias("parts")), "hot-keys")
-    small = F.broadcast(hot) if hot.count() <= 100_000 else hot
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    # With parts p and q, p <= q, a task is p * parts + q; a row of part p takes side 0 in those, and side 1 in those of a lower p.
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct((F.least(own, q) * F.col("parts") + F.greatest(own, q)).cast("long").alias("task"), (q < own).cast("byte").alias("part")))
-    alone = F.array(F.struct(F.lit(0).cast("long").alias("task"), F.lit(0).cast("byte").alias("part")))
-    to = points.join(small, "key", "left").withColumn("to", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(pair)))
-    dealt = to.select("key", "to.task", "to.part", "node", *[f"fp{w}" for w in range(words)])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "key", "task").mapInArrow(_blocks(words, radius), "u long, v long")
-
-
-def similar_groups(docs: DataFrame, *, similarity: float = 0.8, width: int = 5, words: int = WORDS, keys: int = KEYS, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with its group of near duplicates on word shingles: doc_id, component_id.
+    tasks = tiled(points, "key", "node", most=tile, least=min(tile, 256))
+    ordered = tasks.repartition(partitions(points), "key", "task").sortWithinPartitions("key", "task")
+    return ordered.select("key", "task", "part", "node", *[f"fp{w}" for w in range(words)]).mapInArrow(_blocks(words, radius), "u long, v long")
 
-    Fingerprints have ``words`` times 64 bits, which tell similarities apart far
-    better than 64, and are compared exactly, in tiles, for all texts that share
-    one of ``keys`` smallest shingle hashes. Two texts of similarity 0.8 share
-    none with a chance of 0.2 to the power of ``keys``, under 3 in a million.
-    Texts without words are copies of one another. Null texts are empty; rows
-    without id are as in ``near_duplicates``. Fingerprints are known by a hash
-    of 64 bits.
-    """
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+def _copy(text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
+def _classes(docs: DataFrame, similarity: float, width: int, words: int, keys: int, tile: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, copy, node), and for each node of them (node, n, class)."""
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _copy(text_col).alias("copy"), F.col(f"`{text_col}`").cast("string").alias("text"))
     names = [f"fp{w}" for w in range(words)]
-    rows = source.mapInArrow(_wide(width, words, keys), f"doc_id long, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+    rows = source.mapInArrow(_wide(width, words, keys), f"doc_id long, copy long, {', '.join(f'{n} long' for n in names)}, keys array<long>")
     rows = materialize(rows.withColumn("node", F.xxhash64(*names)), "fingerprints")
-    points = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
-    dealt = materialize(rows.where("doc_id is not null").select(F.explode("keys").alias("key"), "node", *names).distinct(), "dealt")
-    label = connected_components(similar_links(dealt, words, radius_of(similarity, words), tile))
-    points = points.join(label.select(F.col("v").alias("node"), "c"), "node", "left")
-    linked = points.where("c is not null")
-    first = materialize(linked.groupBy("c").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "first")
-    linked = lookup(materialize(linked, "linked"), first, "c", "nodes").select("node", "n", "component_id")
-    alone = points.where("c is null").select("node", "n", F.col("rep").alias("component_id"))
-    return lookup(rows.select("doc_id", "node"), materialize(linked.unionByName(alone), "components"), "node", "n").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each of ``similar_groups``: that of the smallest id. Rows without id stay."""
-    near = similar_groups(docs, id_col=id_col, text_col=text_col, **options)
-    kept = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept_id")).distinct()
-    own = F.col(f"`{id_col}`")
-    with_id = docs.where(own.isNotNull())
-    return with_id.join(kept, with_id[f"`{id_col}`"] == kept["__kept_id"], "left_semi").unionByName(docs.where(own.isNull()))
+    dealt = materialize(rows.select(F.explode("keys").alias("key"), "node", *names).distinct(), "dealt")
+    label = connected_components(similar_links(dealt, words, radius_of(similarity, width, words), tile))
+    points = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(label.select(F.col("v").alias("node"), "c"), "node", "left")
+    return rows.select("doc_id", "copy", "node"), materialize(points.select("node", "n", F.coalesce("c", "node").alias("class")), "points")
+
+
+def _first_of_class(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """(node, n, first): the smallest (none, doc_id, copy) of the rows of each node's class, rows without id last."""
+    own = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy")).alias("own"))
+    each = materialize(points.join(own, "node"), "own")
+    first = materialize(each.groupBy("class").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("nodes")), "first")
+    return lookup(each, first, "class", "nodes").select("node", "n", "first")
+
+
+def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, width: int = WIDTH, words: int = WORDS, keys: int = KEYS, tile: int = MOST_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row with its group of near duplicates on word shingles: doc_id, component_id.
+
+    ``similarity`` is the share of words that two texts agree in, as their
+    shingles of ``width`` words tell it (``radius_of``). Fingerprints are of the
+    different shingles, have ``words`` times 64 bits, which tell similarities
+    apart far better than 64, and are compared exactly, in tiles, for all texts
+    that share one of ``keys`` smallest shingle hashes. Two texts at 0.85 share
+    none of 16 with a chance of 0.5 %. ``component_id`` is the smallest id of
+    the group, null where none of its rows has one. Texts without words are
+    copies of one another, null texts are empty, and repeated rows are in one
+    group. Fingerprints are known by a hash of 64 bits.
+    """
+    rows, points = _classes(docs, similarity, width, words, keys, tile, id_col, text_col)
+    table = materialize(_first_of_class(rows, points).select("node", "n", F.col("first.doc_id").alias("component_id")), "components")
+    return lookup(rows.select("doc_id", "node"), table, "node", "n").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, similarity: float = SIMILARITY, width: int = WIDTH, words: int = WORDS, keys: int = KEYS, tile: int = MOST_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each of ``similar_groups``, and all its columns.
+
+    That of the smallest id stays; rows without id come last, rows with equal
+    ids by a hash of their text, and of rows with equal id and text one stays,
+    by a hash of all columns.
+    """
+    rows, points = _classes(docs, similarity, width, words, keys, tile, id_col, text_col)
+    key = lambda i, c: F.struct(F.coalesce(i, F.lit(0).cast("long")).alias("id"), i.isNull().alias("none"), c.alias("copy"))
+    first = _first_of_class(rows, points).select("first").distinct()
+    kept = first.select(key(F.col("first.doc_id"), F.col("first.copy")).alias("key"))
+    counts = rows.groupBy(key(F.col("doc_id"), F.col("copy")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    table = materialize(counts.join(kept, "key", "left_semi"), "kept")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    given = carried(docs)
+    own = [F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)]
+    found = lookup(given.withColumn("key", key(own[0].cast("long"), F.xxhash64(own[1].cast("string")))), table, "key", "n")
+    again = found.where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(*names)))).where("place = 1")
+    return restored(found.where("n = 1").select(*names).unionByName(again.select(*names)), docs)
