@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import lookup, pieces
+from grovekit.llm.common import lookup, partitions, pieces
 from grovekit.storage import materialize
 
 #: Bytes of distinct content that a task holds before it partitions again.
@@ -164,8 +164,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     rows = materialize(source.mapInArrow(_names, "doc_id long, sha binary"), "names")
     merged = source.mapInArrow(_merged, "h long, content binary, top long, n long")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = merged.repartition(parts, "h").mapInArrow(_groups, "sha binary, keep_id long, group_size long")
+    groups = merged.repartition(partitions(docs), "h").mapInArrow(_groups, "sha binary, keep_id long, group_size long")
     found = lookup(rows, materialize(groups, "groups"), "sha", "group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

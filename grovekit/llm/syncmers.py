@@ -4,11 +4,16 @@ A k-mer of code points is kept if the smallest hash among its s-mers is that of
 its first or last one. Whether it is depends on the k-mer alone, so what two
 texts share gives the same anchors in both, wherever it stands, and windows
 guarantee one every k - s code points.
+
+A fingerprint is the ``SIZE`` anchors of the smallest hashes, in the order of
+their positions. Two fingerprints are matched by position: of the anchors that
+both have, the longest run that stands in the same order in both counts.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -19,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.llm.common import pieces
+from grovekit.llm.common import partitions, pieces
 
 K, S = 24, 8
+#: Anchors of a fingerprint at most, of 4 bytes each.
+SIZE = 64
 BLOCK = 1 << 21
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,20 +107,43 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return own, pos, h
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """For each pair of numbered anchor lists, the share of anchors they have in common, repeats counted; empty lists are alike."""
-    ka, ca = np.unique(a[0].astype(np.uint64) << np.uint64(32) | a[1], return_counts=True)
-    kb, cb = np.unique(b[0].astype(np.uint64) << np.uint64(32) | b[1], return_counts=True)
-    both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    common = np.bincount((both >> np.uint64(32)).astype(np.int64), np.minimum(ca[ia], cb[ib]), n)
-    total = np.bincount(a[0], minlength=n) + np.bincount(b[0], minlength=n) - common
-    return np.where(total > 0, common / np.maximum(total, 1), 1.0)
+def smallest(own: np.ndarray, pos: np.ndarray, h: np.ndarray, n: int, size: int = SIZE) -> list[np.ndarray]:
+    """Each of n texts' fingerprint: the hashes of its ``size`` smallest different ones, in order of their first positions."""
+    order = np.lexsort((pos, h, own))
+    own, pos, h = own[order], pos[order], h[order]
+    new = np.r_[True, (own[1:] != own[:-1]) | (h[1:] != h[:-1])] if len(own) else np.empty(0, bool)
+    own, pos, h = own[new], pos[new], h[new]
+    rank = np.arange(len(own)) - np.searchsorted(own, own)
+    few = rank < size
+    own, pos, h = own[few], pos[few], h[few]
+    h = h[np.lexsort((pos, own))]
+    cut = np.searchsorted(own, np.arange(n + 1)).tolist()
+    return [h[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def in_order(a: list[int], b: list[int], among: set[int]) -> int:
+    """The most anchors of ``among`` that stand in the same order in both."""
+    place = {x: i for i, x in enumerate(b)}
+    ends: list[int] = []
+    for x in a:
+        if x in among:
+            at = bisect.bisect_left(ends, place[x])
+            ends[at : at + 1] = [place[x]]
+    return len(ends)
+
+
+def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
+    """Of the ``size`` smallest anchors of both fingerprints together, the share that both have in the same order; empty ones are alike."""
+    x, y = a.tolist(), b.tolist()
+    if x == y:
+        return 1.0
+    least = set(sorted({*x, *y})[:size])
+    return in_order(x, y, least & set(x) & set(y)) / len(least)
 
 
-def encode(own: np.ndarray, h: np.ndarray, n: int) -> list[str]:
-    """Each text's anchor hashes, in order, as base64 of little-endian 32-bit integers."""
-    raw, cut = h.astype("<u4").tobytes(), np.searchsorted(own, np.arange(n + 1)).tolist()
-    return [base64.b64encode(raw[4 * a : 4 * b]).decode() for a, b in zip(cut, cut[1:], strict=False)]
+def encode(h: np.ndarray) -> str:
+    """A fingerprint as base64 of little-endian 32-bit integers."""
+    return base64.b64encode(h.astype("<u4").tobytes()).decode()
 
 
 def _anchored(k: int, s: int):
@@ -145,7 +175,7 @@ def edited(text: str, following: str) -> str:
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _pairs(k: int, s: int):
+def _pairs(k: int, s: int, size: int):
     """Rows come sorted within their bucket; the one after the bucket's last is its tail."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch | None:
@@ -153,24 +183,17 @@ def _pairs(k: int, s: int):
         use = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
         if not use:
             return None
-        n = len(use)
         new = [edited(texts[i], texts[i + 1]) for i in use]
-        own, _, h = anchors(texts, k, s)
-        e_own, _, e_h = anchors(new, k, s)
-        number = np.full(len(rows) + 1, -1)
-        number[use] = np.arange(n)
-        first = (number[own], h)
-        first = (first[0][first[0] >= 0], h[first[0] >= 0])
-        after = number[own - 1]  # of the row before
-        second = (after[after >= 0], h[after >= 0])
+        prints = smallest(*anchors(texts, k, s), len(texts), size)
+        e_prints = smallest(*anchors(new, k, s), len(new), size)
         return pa.record_batch({
             "doc_id": pa.array([rows[i][2] for i in use], pa.int64()),
             "n_chars": pa.array([len(texts[i]) for i in use], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in new]),
-            "fingerprint": pa.array(encode(*first, n)),
-            "edited_fingerprint": pa.array(encode(e_own, e_h, n)),
-            "near_edited": pa.array(likeness(first, (e_own, e_h), n)),
-            "near_next": pa.array(likeness(first, second, n)),
+            "fingerprint": pa.array([encode(prints[i]) for i in use]),
+            "edited_fingerprint": pa.array([encode(x) for x in e_prints]),
+            "near_edited": pa.array([likeness(prints[i], x, size) for i, x in zip(use, e_prints, strict=True)]),
+            "near_next": pa.array([likeness(prints[i], prints[i + 1], size) for i in use]),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +232,15 @@ def with_next(docs: DataFrame, key: str, descending_parts: int) -> DataFrame:
     return placed.withColumn("to", to).drop("bucket", "before").select("*", "to.bucket", "to.tail").drop("to")
 
 
-def compare_with_edits(docs: DataFrame, *, k: int = K, s: int = S, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edits(docs: DataFrame, *, k: int = K, s: int = S, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's fingerprint against its edited text's and the next row's, in descending order of id.
 
     After the last row comes the first. Null texts are empty. Rows with equal
     ids follow each other by text; rows without id come last, by their text's
-    checksum. The texts are shuffled once, by ranges of the id.
+    checksum. The texts are shuffled once, by ranges of the id. Texts of any
+    length are read whole, in blocks; a fingerprint has ``size`` anchors at most,
+    so 4 bytes times that, whatever the text's length. Other columns are
+    ignored, and an empty table gives an empty result.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
@@ -222,7 +248,7 @@ def compare_with_edits(docs: DataFrame, *, k: int = K, s: int = S, id_col: str =
     if not n:
         return docs.sparkSession.createDataFrame([], OUT)
     key = F.col("doc_id") if n == ids else F.coalesce("doc_id", F.lit(-(1 << 62)) - F.crc32(F.col("text").cast("binary")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     dealt = with_next(source.withColumn("key", key), "key", 8 * parts)
     ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "text")
-    return ordered.select("bucket", "tail", "doc_id", "text").mapInArrow(_pairs(k, s), OUT)
+    return ordered.select("bucket", "tail", "doc_id", "text").mapInArrow(_pairs(k, s, size), OUT)

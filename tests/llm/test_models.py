@@ -64,7 +64,53 @@ def test_equal_texts_score_alike(spark, make):
     docs, labels = labelled(120)
     docs += [(1000 + i, t) for i, t in docs[:40]]
     score = {r.doc_id: r.score for r in quality.score_documents(make(docs), spark.createDataFrame(labels, LABELS)).collect()}
-    assert all(abs(score[1000 + i] - score[i]) < 1e-6 for i in range(40))
+    assert all(score[1000 + i] == score[i] for i in range(40))
+
+
+def brute_score(space, sample, counts):
+    """The vote, neighbour by neighbour: by cosine to nine decimals, then by the order of ids."""
+    def latent(c):
+        x = np.zeros(len(space.column))
+        for t, share in c.items():
+            if t in space.column:
+                x[space.column[t]] = np.sqrt(max(share, 0)) * 1.0
+        x = x * space.idf
+        n = np.sqrt(sum(np.sqrt(max(c.get(t, 0), 0)) ** 2 * space.idf[i] ** 2 for t, i in space.column.items()))
+        y = (x / max(n, 1e-12)) @ space.projection
+        return y / max(np.linalg.norm(y), 1e-12)
+
+    own = latent(counts)
+    order = sorted((-round(float(own @ latent(s)), 9), i) for i, s in enumerate(sample))[: quality.NEIGHBOURS]
+    w = [max(-c, 0) ** quality.SHARPNESS for c, _ in order]
+    return (sum(x * space.labels[i] for x, (_, i) in zip(w, order, strict=True)) + 1e-6 * space.prior) / (sum(w) + 1e-6)
+
+
+def test_votes_against_brute_force():
+    docs, labels = labelled(150)
+    sample = [quality.terms(t) for _, t in docs] + [quality.terms(docs[0][1])] * 40  # 41 equal neighbours, with either label
+    truth = np.array([q for _, q, _, _ in labels] + [i % 2 for i in range(40)])
+    space = quality.Space(sample, truth)
+    new = [quality.terms(t) for _, t in labelled(170)[0][150:]] + sample[:3] + [quality.terms(""), quality.terms(None)]
+    found = space.score(new)
+    assert np.allclose(found, [brute_score(space, sample, c) for c in new], rtol=0, atol=1e-6)
+    assert all(space.score([c])[0] == x for c, x in zip(new, found, strict=True))
+    tied = space.nearest(space.cosines([sample[0]]))[0]
+    assert tied.tolist() == [0, *range(150, 150 + quality.NEIGHBOURS - 1)]
+
+
+def test_ids_with_several_texts_teach_nothing(spark, make):
+    docs, labels = labelled(120)
+    frame = spark.createDataFrame(labels, LABELS)
+    twice = next(i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1)
+    rest = make([d for d in docs if d[0] != twice])
+    a = {r.doc_id: r.score for r in quality.score_documents(rest, frame).collect()}
+    b = {r.doc_id: r.score for r in quality.score_documents(make([*docs, (twice, "QUITE !! another")]), frame).collect()}
+    assert all(b[i] == x for i, x in a.items())
+
+
+def test_long_shapes_are_terms():
+    dashes = quality.terms("-" * 40 + " " + "=" * 50)
+    assert sum(len(t) == 9 and t.startswith(b"=") and not t.startswith(b"=length") for t in dashes) >= 3
 
 
 def test_raking_meets_all_marginals():

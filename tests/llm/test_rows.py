@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+import xxhash
 
 from grovekit.llm import bpe, sharding, syncmers, token_counts
 
@@ -41,6 +44,32 @@ def test_shards_balance_and_slots_are_gapless(spark, odd):
     assert sorted(map(repr, again)) == sorted(map(repr, rows))
 
 
+def walked(rows, n_shards, vnodes=256):
+    """The ring key by key: places in the order of their own hash, each row clockwise to the first virtual node of a shard with room."""
+    nodes = sorted((xxhash.xxh64_intdigest(f"{s}:{v}") >> 48, s) for s in range(n_shards) for v in range(vnodes))
+    room = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    out, load = {}, [0] * n_shards
+    for key, place in sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(f"place {r[1]}"), r[0])):
+        at = next((i for i, (p, _) in enumerate(nodes) if p >= place), 0)
+        while load[nodes[at % len(nodes)][1]] == room[nodes[at % len(nodes)][1]]:
+            at += 1
+        shard = nodes[at % len(nodes)][1]
+        out[key] = shard, load[shard]
+        load[shard] += 1
+    return out
+
+
+def test_ring_key_by_key(spark, make):
+    rnd = random.Random(3)
+    docs = [(i * 7, prose(rnd, rnd.randint(0, 5))) for i in range(500)]
+    hashes = {r.doc_id: r.h for r in spark.createDataFrame([(i,) for i, _ in docs], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    expected = walked([((hashes[i], i), (hashes[i] & (1 << 64) - 1) >> 48) for i, _ in docs], 16)
+    found = sharding.shard_documents(make(docs), 16).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in found} == {i: s for (_, i), s in expected.items()}
+    sizes = {s: n for s, n in Counter(r.shard for r in found).items()}
+    assert set(sizes.values()) <= {31, 32} and len(sizes) == 16
+
+
 def test_no_rows_to_shard(none):
     assert sharding.shard_documents(none, 16).count() == 0
 
@@ -181,10 +210,61 @@ def test_edits(odd, none, make):
     assert by[3].near_next < 0.05 < 0.2 < by[3].near_edited < 0.6
 
 
-def test_likeness_counts_repeats():
-    a = (np.array([0, 0, 0, 1]), np.array([5, 5, 7, 9], np.uint64))
-    b = (np.array([0, 0]), np.array([5, 8], np.uint64))
-    assert syncmers.likeness(a, b, 3).tolist() == [1 / 4, 0.0, 1.0]
+def brute_fingerprint(text):
+    """The smallest different anchor hashes in the order of their first positions, one anchor after another."""
+    _, pos, h = syncmers.anchors([text])
+    assert pos.tolist() == (brute_anchors(text, syncmers.K, syncmers.S) or ([0] if text else []))
+    first = {}
+    for x in h.tolist():
+        first.setdefault(x, len(first))
+    return sorted(sorted(first)[: syncmers.SIZE], key=first.get)
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    least = sorted({*a, *b})[: syncmers.SIZE]
+    x, y = ([h for h in t if h in least and h in a and h in b] for t in (a, b))
+    best = [0] * (len(y) + 1)  # the longest common subsequence, row by row
+    for h in x:
+        row = [0]
+        for j, g in enumerate(y):
+            row.append(max(row[-1], best[j + 1], best[j] + (h == g)))
+        best = row
+    return best[-1] / len(least)
+
+
+def encoded(hashes):
+    return base64.b64encode(b"".join(x.to_bytes(4, "little") for x in hashes)).decode()
+
+
+def test_fingerprints_against_brute_force(make):
+    rnd = random.Random(12)
+    base = prose(rnd, 400)
+    texts = ["", "short", base, base[600:] + base[:600], base.replace("ka", "ko"), prose(rnd, 30), prose(rnd, 900) + base, "ab" * 300]
+    found = {r.doc_id: r for r in syncmers.compare_with_edits(make(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        after = texts[i - 1]  # ids go down, and the last is followed by the first
+        new = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        own, edit, nxt = map(brute_fingerprint, (t, new, after))
+        r = found[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(t), encoded(own), encoded(edit))
+        assert (r.near_edited, r.near_next) == (brute_likeness(own, edit), brute_likeness(own, nxt))
+        assert len(r.fingerprint) <= 4 * -(-4 * syncmers.SIZE // 3)
+
+
+def test_shuffled_blocks_lose_likeness():
+    rnd = random.Random(13)
+    text = prose(rnd, 600)
+    size = len(text) // 20
+    cut = [text[i : i + size] for i in range(0, len(text), size)]
+    moved = cut[:]
+    rnd.shuffle(moved)
+    inserted = "".join([*cut[:10], prose(rnd, 20), *cut[10:]])
+    own, *others = (np.array(brute_fingerprint(t)) for t in (text, "".join(moved), inserted))
+    shuffled, longer = (syncmers.likeness(own, x) for x in others)
+    assert shuffled < 0.5 < 0.8 < longer
+    assert len(set(own.tolist()) & set(others[0].tolist())) > 0.6 * syncmers.SIZE
 
 
 def test_anchor_lists(odd):
