@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from grovekit.llm import html_text, mixing, quality
@@ -141,16 +142,112 @@ def test_joined_raking_is_the_same(spark):
     assert all(abs(a[k] - b[k]) < 1e-6 for k in a)
 
 
+def brute_vector(text):
+    x, count = [0.0] * mixing.BUCKETS, {}
+    for w in (text or "").encode().lower().split():
+        count[w] = count.get(w, 0) + 1
+    for w, n in count.items():
+        h = xxhash.xxh32_intdigest(w) % (2 * mixing.BUCKETS)
+        x[h % mixing.BUCKETS] += (1 if h < mixing.BUCKETS else -1) * n**0.5
+    norm = sum(v * v for v in x) ** 0.5
+    return [round(v * 1024 / norm) if norm else 0 for v in x]
+
+
+def brute_topics(docs):
+    """docs: (lang, text); signs along the directions of the texts' differences from their languages' means."""
+    x = np.array([brute_vector(t) for _, t in docs], float)
+    group = [None if g is None else xxhash.xxh32_intdigest(g.encode()) % mixing.LANGUAGES for g, _ in docs]
+    own = np.array([x[[i for i in range(len(docs)) if group[i] == g]].mean(axis=0) for g in group])
+    values, vectors = np.linalg.eigh(np.cov((x - own).T, bias=True))
+    out = []
+    for row in x - own:
+        signs = 0
+        for k in range(mixing.DIRECTIONS):
+            v = vectors[:, -1 - k]
+            v = v * np.sign(v[np.argmax(np.abs(v))])
+            signs += int(row @ v > 1e-6) << k
+        out.append(signs)
+    return out
+
+
+def test_topics_come_from_what_texts_say(make):
+    """Two subjects in each of two languages: the first direction parts the subjects, not the languages."""
+    rnd = random.Random(15)
+    words = {(g, s): [f"{g}{s}{i}" for i in range(30)] for g in ("en", "de") for s in "ab"}
+    docs = []
+    for i in range(400):
+        g, s = rnd.choice(["en", "de"]), rnd.choice("ab")
+        docs.append((i, " ".join([*rnd.choices(words[g, s], k=40), *[f"{g}x{k}" for k in range(20)]]), g, s, 0))
+    frame = make([(d[0], d[1:]) for d in docs])
+    found = {r.doc_id: int(r.topic) for r in mixing.mix_documents(frame).collect()}
+    assert found == dict(zip((d[0] for d in docs), brute_topics([(d[2], d[1]) for d in docs]), strict=True))
+    for g in ("en", "de"):
+        seen = {}
+        for i, _, lang, s, _ in docs:
+            if lang == g:
+                seen.setdefault(s, set()).add(found[i] & 3)
+        assert not seen["a"] & seen["b"]
+
+
+def test_targets_stay_within_what_there_is():
+    have = np.array([10.0, 0.0, 500.0, 4000.0])
+    for whole in (20.0, 1000.0, 4400.0):
+        want = mixing.wanted(have, 0.5, whole)
+        assert abs(want.sum() - whole) < 1e-6 and (want <= have).all() and want[1] == 0
+        free = (want < have) & (have > 0)
+        assert np.ptp(want[free] / have[free] ** 0.5) < 1e-6 if free.sum() > 1 else True
+
+
+def plain_raking(cells, flatten, budget):
+    """cells: {(source, lang, topic): tokens}; raked with dictionaries alone."""
+    total = sum(cells.values())
+    wants = []
+    for d, power in enumerate(flatten.values()):
+        have = {}
+        for c, n in cells.items():
+            have[c[d]] = have.get(c[d], 0) + n
+        low, high = 0.0, max(have.values()) + 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(n, mid * n**power) for n in have.values() if n) < budget * total else (low, mid)
+        wants.append({v: min(n, high * n**power) if n else 0.0 for v, n in have.items()})
+    fitted = {c: n * budget for c, n in cells.items()}
+    for _ in range(mixing.ROUNDS):
+        for d, want in enumerate(wants):
+            have = {}
+            for c, n in fitted.items():
+                have[c[d]] = have.get(c[d], 0) + n
+            fitted = {c: min(cells[c], n * want[c[d]] / have[c[d]]) if have[c[d]] else 0.0 for c, n in fitted.items()}
+    return {c: fitted[c] / n if n else 1.0 for c, n in cells.items()}
+
+
+def test_probabilities_against_plain_raking(spark):
+    rnd = random.Random(18)
+    rows = [(i, prose(rnd, rnd.randint(0, 60)), rnd.choice(["en", "en", "de", None]), rnd.choice(["s0", "s0", "s0", "s1", None]), 0) for i in range(400)]
+    found = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), budget=0.6).collect()
+    cells = {}
+    for r in found:
+        cells[r.source, r.lang, r.topic] = cells.get((r.source, r.lang, r.topic), 0) + r.n_tokens
+    expected = plain_raking(cells, mixing.FLATTEN, 0.6)
+    assert all(abs(r.probability - expected[r.source, r.lang, r.topic]) < 1e-5 for r in found)
+    assert all(r.met and abs(r.source_missing) < 1e-3 and abs(r.lang_missing) < 1e-3 and abs(r.topic_missing) < 1e-3 for r in found)
+
+
+def test_what_cannot_be_met_is_told(spark):
+    cells = spark.createDataFrame([("a", "en", "0", 1000), ("b", "de", "1", 10)], "source string, lang string, topic string, tokens long")
+    for n in (1000, 0):
+        found = {r.source: r for r in mixing.fit_cells(cells, 0.5, {"source": 0.1, "lang": 1.0, "topic": 1.0}, driver_cells=n, rounds=30).collect()}
+        assert max(abs(found[s][f"{d}_missing"]) for s in "ab" for d in mixing.DIMENSIONS) > 0.1
+        assert all(0 <= r.probability <= 1 for r in found.values())
+
+
 def test_mixture_brute_force(odd, none):
     found = mixing.mix_documents(odd).collect()
     rows = odd_rows()
     assert len(found) == len(rows)
-    from collections import Counter
-
-    measure = {}
-    for r in rows:
-        words = Counter((r[1] or "").encode().lower().split())
-        measure.setdefault(r[0], []).append((r[3], r[2], str(mixing.topic_of(words)), words.total()))
+    topics, measure = brute_topics([(r[2], r[1]) for r in rows]), {}
+    for r, t in zip(rows, topics, strict=True):
+        measure.setdefault(r[0], []).append((r[3], r[2], str(t), len((r[1] or "").encode().split())))
     assert sorted(map(repr, ((r.doc_id, r.source, r.lang, r.topic, r.n_tokens) for r in found))) == sorted(repr((i, *m)) for i, ms in measure.items() for m in ms)
     assert all(0 <= r.probability <= 1 + 1e-9 and 0 <= r.draw < 1 and r.kept == (r.draw < r.probability) for r in found)
     kept = mixing.mixture(odd)
