@@ -13,7 +13,6 @@ the second moments of all texts, part them by their signs.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,41 +42,37 @@ DRIVER_CELLS = 200_000
 DRAW_SEED = 17
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def language(lang: str | None) -> int:
     return LANGUAGES if lang is None else xxhash.xxh32_intdigest(lang.encode("utf-8", "surrogatepass")) % LANGUAGES
 
 
-class Buckets:
-    """Vectors of texts: the square root of each word's count, with a sign of its own, in the word's bucket; of length ``SCALE``."""
+class Places(dict):
+    """Each word's place: its bucket, and whether it counts for or against it."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        place = self[word] = xxhash.xxh32_intdigest(word) % (2 * BUCKETS)
+        return place
 
-    def vector(self, words: Counter) -> np.ndarray:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        places = []
-        for w in words:
-            if (p := known.get(w)) is None:
-                p = known[w] = xxhash.xxh32_intdigest(w) % (2 * BUCKETS)
-            places.append(p)
-        if not places:
-            return np.zeros(BUCKETS, np.int64)
-        whole = np.bincount(np.array(places), np.sqrt(np.fromiter(words.values(), float, len(words))), 2 * BUCKETS)
-        x = whole[:BUCKETS] - whole[BUCKETS:]
-        return np.rint(x * (SCALE / max(math.sqrt(float(x @ x)), 1e-12))).astype(np.int64)
+
+def vector(words: list[bytes], places: Places) -> np.ndarray:
+    """Counts of words by bucket, with a sign of each word's own; the square roots, to a length of ``SCALE``."""
+    whole = np.bincount(np.fromiter(map(places.__getitem__, words), np.int64, len(words)), minlength=2 * BUCKETS)
+    x = whole[:BUCKETS] - whole[BUCKETS:]
+    x = np.sign(x) * np.sqrt(np.abs(x))
+    return np.rint(x * (SCALE / max(math.sqrt(float(x @ x)), 1e-12))).astype(np.int64)
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over the texts of a task: the products of buckets, then for each language the buckets and the number of texts."""
-    buckets, products, sums = Buckets(), np.zeros((BUCKETS, BUCKETS), np.int64), np.zeros((LANGUAGES + 1, BUCKETS + 1), np.int64)
+    places, products, sums = Places(), np.zeros((BUCKETS, BUCKETS), np.int64), np.zeros((LANGUAGES + 1, BUCKETS + 1), np.int64)
     for b in pieces(batches, "text"):
-        x = np.array([buckets.vector(words_of(t)) for t in b["text"].to_pylist()], np.int64).reshape(-1, BUCKETS)
+        x = np.array([vector(words_of(t), places) for t in b["text"].to_pylist()], np.int64).reshape(-1, BUCKETS)
         products += x.T @ x
         np.add.at(sums, [language(v) for v in b["lang"].to_pylist()], np.c_[x, np.ones(len(x), np.int64)])
     flat = np.r_[products.ravel(), sums.ravel()]
@@ -113,13 +108,13 @@ class Topics:
 
 def _measured(topics: Topics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = Buckets()
+        places = Places()
         for b in pieces(batches, "text"):
             words = [words_of(t) for t in b["text"].to_pylist()]
-            x = np.array([buckets.vector(w) for w in words], np.int64).reshape(-1, BUCKETS)
+            x = np.array([vector(w, places) for w in words], np.int64).reshape(-1, BUCKETS)
             found = topics.topic(x, b["lang"].to_pylist())
             kept = {c: b[c] for c in b.schema.names if c != "text"}
-            yield pa.record_batch({**kept, "topic": pa.array([str(t) for t in found], pa.string()), "n_tokens": pa.array([w.total() for w in words], pa.int64())})
+            yield pa.record_batch({**kept, "topic": pa.array([str(t) for t in found], pa.string()), "n_tokens": pa.array([len(w) for w in words], pa.int64())})
 
     return run
 

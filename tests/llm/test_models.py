@@ -143,14 +143,12 @@ def test_joined_raking_is_the_same(spark):
 
 
 def brute_vector(text):
-    x, count = [0.0] * mixing.BUCKETS, {}
+    x = [0] * mixing.BUCKETS
     for w in (text or "").encode().lower().split():
-        count[w] = count.get(w, 0) + 1
-    for w, n in count.items():
         h = xxhash.xxh32_intdigest(w) % (2 * mixing.BUCKETS)
-        x[h % mixing.BUCKETS] += (1 if h < mixing.BUCKETS else -1) * n**0.5
-    norm = sum(v * v for v in x) ** 0.5
-    return [round(v * 1024 / norm) if norm else 0 for v in x]
+        x[h % mixing.BUCKETS] += 1 if h < mixing.BUCKETS else -1
+    norm = sum(abs(v) for v in x) ** 0.5
+    return [round((1 if v > 0 else -1) * abs(v) ** 0.5 * 1024 / norm) if v else 0 for v in x]
 
 
 def brute_topics(docs):
