@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # How the backends and their workers are named.
 LABELS = {"sequential": "Sequential", "openmp": "OpenMP", "mpi": "MPI", "cuda": "CUDA"}
-WORKERS = {"sequential": "core", "openmp": "threads", "mpi": "ranks", "cuda": "SM"}
+WORKERS = {"sequential": "core", "mpi": "processi", "openmp": "thread", "cuda": "GPU"}
 
 
 def near(a: Column, b: Column, eps: float) -> Column:
@@ -47,18 +47,23 @@ def strict_int(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?[0-9]+$"), text).try_cast("long")
 
 
+def _short(x: Column, digits: int) -> Column:
+    """At most so many decimals, without zeros at the end."""
+    return F.regexp_replace(F.format_string(f"%.{digits}f", x.cast("double")), r"\.?0+$", "")
+
+
 def duration(seconds: Column) -> Column:
-    """Microseconds, milliseconds or seconds, whichever reads best."""
-    fixed = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
-    return F.when(seconds < 1e-3, fixed(seconds * 1e6, " us")).when(seconds < 1, fixed(seconds * 1e3, " ms")).otherwise(fixed(seconds, " s"))
+    """Microseconds to 2 decimals, or milliseconds or seconds to 3, whichever reads best."""
+    us, ms, s = (F.concat(_short(x, n), F.lit(unit)) for x, n, unit in ((seconds * 1e6, 2, " us"), (seconds * 1e3, 3, " ms"), (seconds, 3, " s")))
+    return F.when(seconds < 1e-3, us).when(seconds < 1, ms).otherwise(s)
 
 
-def percent(share: Column) -> Column:
-    return F.concat(F.format_string("%.1f", share * 100), F.lit("%"))
+def percent(part: Column, total: Column) -> Column:
+    return F.concat(_short(100 * part / total, 1), F.lit("%"))
 
 
 def ratio(x: Column) -> Column:
-    return F.concat(F.format_string("%.2f", x), F.lit("x"))
+    return F.concat(_short(x, 2), F.lit("x"))
 
 
 def _named(key: Column, names: dict[str, str]) -> Column:
@@ -72,8 +77,14 @@ def backend_label(backend: Column) -> Column:
     return _named(backend, LABELS)
 
 
-def worker_unit(backend: Column) -> Column:
-    return _named(backend, WORKERS)
+def workers(backend: Column, resources: Column) -> Column:
+    """How many workers a run had, with their name."""
+    return F.concat_ws(" ", resources.cast("string"), _named(backend, WORKERS))
+
+
+def collision_rate(count: Column, edges: Column, rounds: Column) -> Column:
+    """Beaten offers as a share of all that the rounds could make, two for each edge."""
+    return count / (F.greatest(edges, F.lit(1)) * F.greatest(rounds, F.lit(1)) * 2.0)
 
 
 def verified(text: Column) -> Column:

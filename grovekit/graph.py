@@ -59,13 +59,19 @@ def normalized_ends(u: str = "u", v: str = "v") -> list[Column]:
 
 
 def encoded_key(u: str = "u", v: str = "v") -> Column:
-    """Both ends in one number, whichever comes first; ids must be under 2^31."""
-    return F.shiftleft(F.least(u, v).cast("long"), 32).bitwiseOR(F.greatest(u, v).cast("long"))
+    """Both ends in one number, whichever comes first; ids that aren't from 0 to under 2^31 are an error."""
+    low, high = F.least(u, v).cast("long"), F.greatest(u, v).cast("long")
+    return _fitting((low >= 0) & (high < 1 << 31), F.shiftleft(low, 32).bitwiseOR(high), "a vertex")
+
+
+def _fitting(fits: Column, key: Column, what: str) -> Column:
+    return F.when(fits, key).when(fits.isNull(), None).otherwise(F.raise_error(F.lit(f"{what} is too large for a packed key")).cast("long"))
 
 
 def packed_key(w: str = "w", eid: str = "eid") -> Column:
-    """Weight and edge id in one number that sorts as they do; weights under 2^31, ids under 2^32."""
-    return F.shiftleft(F.col(w).cast("long"), 32).bitwiseOR(F.col(eid).cast("long"))
+    """Weight and edge id in one number that sorts as they do; weights beyond 31 bits and ids beyond 32 are an error."""
+    weight, number = F.col(w).cast("long"), F.col(eid).cast("long")
+    return _fitting((F.abs(weight) < 1 << 31) & (number >= 0) & (number < 1 << 32), F.shiftleft(weight, 32).bitwiseOR(number), "a weight or an edge id")
 
 
 def unpacked_id(key: str = "k") -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovekit.storage import materialize
+from grovekit.storage import discard, materialize
 
 #: With so many edges or fewer (4 MB), one task ends the work.
 TAIL_EDGES = 1 << 18
@@ -75,7 +75,8 @@ def connected_components(edges: DataFrame, tail_edges: int = TAIL_EDGES) -> Data
     while (n := left.count()) > tail_edges:
         parent = materialize(jump(jump(lightest_neighbour(left))), "cc-parent")
         done.append(parent)
-        left = materialize(relabel(left, parent), "cc-edges")
+        before, left = left, materialize(relabel(left, parent), "cc-edges")
+        discard(before)
     schema = "v long, c long"
     if n:
         label = materialize(left.coalesce(1).mapInArrow(_tail, schema), "cc-tail")
@@ -87,7 +88,7 @@ def connected_components(edges: DataFrame, tail_edges: int = TAIL_EDGES) -> Data
     return label
 
 
-def spanning_links(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
+def spanning_links(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Joins ``label`` (in place: each node's smallest node so far) along the links i-j."""
     while True:
         a, b = label[i], label[j]

@@ -3,25 +3,12 @@
 from __future__ import annotations
 
 import os
-import time
-from contextlib import contextmanager
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovekit.functions.scalars import env, hostname, utc_now
-from grovekit.operators.forest import Forest
-
-
-@contextmanager
-def phase(timings: dict[str, float], name: str) -> Iterator[None]:
-    """Adds the seconds of a block, which has to run its own actions, to ``timings``."""
-    began = time.perf_counter()
-    try:
-        yield
-    finally:
-        timings[name] = timings.get(name, 0.0) + time.perf_counter() - began
+from grovekit.operators.forest import Forest, phase
 
 
 def summary(forest: Forest) -> DataFrame:
@@ -39,7 +26,7 @@ def summary(forest: Forest) -> DataFrame:
 def edge_lines(forest: Forest) -> DataFrame:
     """(line, a, b, w): the edges as text, for sorting by ends and weight."""
     e = forest.edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "w")
-    return e.select(F.format_string("%d - %d : %s", "a", "b", F.col("w").cast("string")).alias("line"), "a", "b", "w")
+    return e.select(F.format_string("  %d-%d (%s)", "a", "b", F.col("w").cast("string")).alias("line"), "a", "b", "w")
 
 
 def tree_lines(forest: Forest) -> DataFrame:
@@ -49,7 +36,7 @@ def tree_lines(forest: Forest) -> DataFrame:
 
 def text_summary(forest: Forest) -> DataFrame:
     """(line): a header with weight and count, then the edges by ends and weight."""
-    head = summary(forest).select(F.format_string("MSF weight %s, %d edges", F.col("total_weight").cast("string"), "selected_edge_count").alias("line"))
+    head = summary(forest).select(F.format_string("MST weight = %s, edges = %d", F.col("total_weight").cast("string"), "selected_edge_count").alias("line"))
     body = edge_lines(forest).orderBy("a", "b", "w").select("line")
     return head.unionAll(body)
 
@@ -64,25 +51,40 @@ def key_values(forest: Forest, timings: dict[str, float], verified: bool) -> lis
     return [*out, f"verification={'MATCH' if verified else 'MISMATCH'}"]
 
 
-def json_report(forest: Forest, checked: DataFrame, name: str, timings: dict[str, float], random: dict | None = None) -> DataFrame:
-    """(json): metadata, graph, configuration, timings, telemetry, capabilities, forest and verification."""
+def json_report(forest: Forest, checked: DataFrame, name: str, timings: dict[str, float], random: dict | None = None, source: str | None = None, render: tuple[bool | None, bool] = (None, False)) -> DataFrame:
+    """(json): metadata, graph, configuration, timings, telemetry, capabilities, forest and verification.
+
+    Seconds of phases that ``timings`` hasn't are those that the forest took.
+    ``source`` is where the graph is from (by default named, or random with its
+    parameters), ``render`` whether a drawing was asked for (None: not said) and
+    made. Locks, kernels and atomic minima have no counterpart in this engine, so
+    their counts are zero.
+    """
     spark = forest.edges.sparkSession
-    seconds = {k: float(v) for k, v in timings.items()}
+    seconds = {**forest.seconds, **{k: float(v) for k, v in timings.items()}}
     loop = seconds.get("mst_loop", seconds.get("exec", 0.0))
     algorithm = seconds.get("algorithm", -1.0)
     lit = F.lit
-    graph = [lit(name).alias("name"), lit("random" if random else "named").alias("source"), F.col("m.vertex_count"), F.col("m.input_edge_count").alias("edge_count")]
+    graph = [lit(name).alias("name"), lit(source or ("random" if random else "named")).alias("source"), F.col("m.vertex_count"), F.col("m.input_edge_count").alias("edge_count")]
     graph += [lit((random or {}).get(k)).cast("long").alias(k) for k in ("random_vertices", "random_extra_edges", "seed", "max_weight")]
     phases = ("scan", "reduce", "contract", "compress")
     time_ = [
-        lit(seconds.get("total", 0.0)).alias("total_seconds"),
+        lit(seconds.get("total", seconds.get("overhead", 0.0) + loop)).alias("total_seconds"),
         lit(loop).alias("mst_loop_seconds"),
         lit(algorithm if algorithm >= 0 else loop).alias("algorithm_seconds"),
         lit(seconds.get("verify", 0.0)).alias("sequential_cpu_verification_seconds"),
         *[lit(seconds.get(p, 0.0)).alias(f"{p}_seconds") for p in phases],
     ]
-    telemetry = [(lit(seconds.get(p, 0.0)) * 1000).alias(f"{p}_time_pure_ms") for p in phases[:3]]
     rest = loop - sum(seconds.get(p, 0.0) for p in phases)
+    telemetry = [
+        *[(lit(seconds.get(p, 0.0)) * 1000).alias(f"{p}_time_pure_ms") for p in phases[:3]],
+        (lit(seconds.get("overhead", 0.0)) * 1000).alias("allocation_and_overhead_ms"),
+        lit(0).cast("long").alias("dsu_contention_retries"),
+        lit(0.0).alias("kernel_launch_overhead_estimated_ms"),
+        lit(0).cast("long").alias("cuda_atomic_min_collision_count"),
+        lit(0.0).alias("cuda_atomic_min_collision_rate"),
+        (lit(rest) * 1000).alias("unattributed_residual_ms"),
+    ]
     m, v = summary(forest).alias("m"), checked.alias("v")
     whole = F.struct(
         lit("spark").alias("backend"),
@@ -91,9 +93,9 @@ def json_report(forest: Forest, checked: DataFrame, name: str, timings: dict[str
         lit(hostname()).alias("hostname"),
         lit(env("SLURM_JOB_ID")).alias("slurm_job_id"),
         F.struct(*graph).alias("graph"),
-        F.struct(lit(False).alias("render_requested"), lit(False).alias("render_enabled")).alias("configuration"),
+        F.struct(lit(render[0]).cast("boolean").alias("render_requested"), lit(render[1]).alias("render_enabled")).alias("configuration"),
         F.struct(*time_).alias("timings"),
-        F.struct(*telemetry, (lit(rest) * 1000).alias("unattributed_residual_ms")).alias("telemetry_details"),
+        F.struct(*telemetry).alias("telemetry_details"),
         F.struct(lit(spark.version).alias("spark"), lit(spark.sparkContext.defaultParallelism).alias("parallelism")).alias("capabilities"),
         F.struct("m.*").alias("mst"),
         F.struct("v.*").alias("verification"),

@@ -50,7 +50,7 @@ def _forest(name: str, kind: str, strategy: str = "boruvka", tail: int | None =
 
 
 _forest("msf_edges", "supply")
-_forest("msf_forest", "supply_mod3")
+_forest("msf_forest", "supply_flags")
 _forest("msf_price", "supply_price")
 _forest("msf_geo", "geo")
 _forest("msf_double", "supply_double")
@@ -73,13 +73,13 @@ for _name in (*G.LITERAL, "dense16"):
 
 @query(
     O.forest(
-        "supply_mod3",
+        "supply_flags",
         """SELECT (SELECT count(*) FROM vs) AS vertex_count, (SELECT count(*) FROM e) AS input_edge_count, count(*) AS selected_edge_count,
         (SELECT count(DISTINCT c) FROM last) AS component_count, CAST(sum(w) AS BIGINT) AS total_weight FROM msf""",
     )
 )
 def msf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3"))
+    forest = minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags"))
     s = report.summary(forest)
     return s.select("vertex_count", "input_edge_count", "selected_edge_count", (F.col("vertex_count") - F.col("selected_edge_count")).alias("component_count"), "total_weight")
 
@@ -102,15 +102,15 @@ def non_msf_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left_out(graph, minimum_spanning_forest(graph)).select(*UVW)
 
 
-@query(O.forest("supply_mod3", "SELECT CAST(sum(w) AS BIGINT) AS weight, count(*) AS n FROM msf"))
+@query(O.forest("supply_flags", "SELECT CAST(sum(w) AS BIGINT) AS weight, count(*) AS n FROM msf"))
 def total_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return totals(minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3")).edges)
+    return totals(minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags")).edges)
 
 
-@query()
+@query(O.trace("supply", 4))
 def round_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components before the first round and after each; rounds that pick none don't count."""
-    trace = component_trace(minimum_spanning_forest(_graph(spark, sf_dir, "supply"), tail_edges=0))
+    trace = component_trace(minimum_spanning_forest(_graph(spark, sf_dir, "supply")))
     return spark.createDataFrame(list(enumerate(trace)), "round int, components long")
 
 
@@ -119,36 +119,36 @@ TRACE = "SELECT CAST(round AS INTEGER) AS round, CAST(components AS BIGINT) AS c
 
 @query(TRACE)
 def round_trace_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = component_trace(minimum_spanning_forest(G.load(spark, "test"), tail_edges=0))
+    trace = component_trace(minimum_spanning_forest(G.load(spark, "test")))
     return spark.createDataFrame(list(enumerate(trace)), "round int, components long")
 
 
 # Components.
 
 
-@query(O.forest("supply_mod3", "SELECT v, c FROM last"), "components")
+@query(O.forest("supply_flags", "SELECT v, c FROM last"), "components")
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_mod3"))
+    return components(_graph(spark, sf_dir, "supply_flags"))
 
 
-@query(O.forest("supply_mod3", "SELECT v, c FROM last"))
+@query(O.forest("supply_flags", "SELECT v, c FROM last"))
 def components_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_mod3"), tail_edges=0)
+    return components(_graph(spark, sf_dir, "supply_flags"), tail_edges=0)
 
 
-@query(O.forest("supply_mod3", "SELECT v, c FROM last"))
+@query(O.forest("supply_flags", "SELECT v, c FROM last"))
 def components_of_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3")).components()
+    return minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags")).components()
 
 
-@query(O.forest("supply_mod3", "SELECT c, count(*) AS size FROM last GROUP BY c"))
+@query(O.forest("supply_flags", "SELECT c, count(*) AS size FROM last GROUP BY c"))
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_mod3")).groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    return components(_graph(spark, sf_dir, "supply_flags")).groupBy("c").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query(O.forest("supply_mod3", "SELECT count(DISTINCT c) AS n FROM last"))
+@query(O.forest("supply_flags", "SELECT count(DISTINCT c) AS n FROM last"))
 def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_mod3")).agg(F.countDistinct("c").alias("n"))
+    return components(_graph(spark, sf_dir, "supply_flags")).agg(F.countDistinct("c").alias("n"))
 
 
 # The steps of a round, each on the first round of the supply graph.
@@ -226,12 +226,13 @@ def any_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "c").agg(F.coalesce(F.bool_or(F.col("top") != F.col("c")), F.lit(False)).alias("changed"))
 
 
-@query(O.first_round("supply", "SELECT (SELECT count(*) FROM offers) AS offers, count(*) AS components, (SELECT count(*) FROM offers) - count(*) AS beaten FROM best"))
+@query(O.first_round("supply", "SELECT (SELECT count(*) FROM offers) AS offers, count(*) AS components, (SELECT count(*) FROM offers) - count(*) AS beaten, round(((SELECT count(*) FROM offers) - count(*)) / (2.0 * (SELECT count(*) FROM e)), 6) AS rate FROM best"))
 def offer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers that were beaten: what the collision counter of an atomic minimum has as its counterpart."""
     _, work = _first(spark, sf_dir)
-    per = rounds.offers(work).groupBy("c").count()
-    return per.agg(F.sum("count").alias("offers"), F.count(F.lit(1)).alias("components"), (F.sum("count") - F.count(F.lit(1))).alias("beaten"))
+    per = rounds.offers(work).groupBy("c").count().agg(F.sum("count").alias("offers"), F.count(F.lit(1)).alias("components"))
+    rate = S.collision_rate(F.col("beaten"), F.col("offers") / 2, F.lit(1))
+    return per.withColumn("beaten", F.col("offers") - F.col("components")).withColumn("rate", F.round(rate, 6))
 
 
 @query(f"WITH {O.edges('supply_price')} SELECT u, arg_min(v, k) AS v, min(w) AS w FROM e GROUP BY u")
@@ -315,9 +316,9 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.crossJoin(e).withColumn("density", S.density(F.col("edges"), F.col("vertices")))
 
 
-@query(O.forest("supply_mod3", "SELECT least(u, v) || ' - ' || greatest(u, v) || ' : ' || w AS line FROM msf"))
+@query(O.forest("supply_flags", "SELECT '  ' || least(u, v) || '-' || greatest(u, v) || ' (' || w || ')' AS line FROM msf"))
 def edges_sorted_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.edge_lines(minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3"))).orderBy("a", "b", "w").select("line")
+    return report.edge_lines(minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags"))).orderBy("a", "b", "w").select("line")
 
 
 @query(f"SELECT u, v, w, 'tree' AS part FROM ({O.GEO}) UNION ALL SELECT u, v, w, 'extra' FROM ({O.SUPPLY['supply']})")
@@ -354,7 +355,7 @@ def all_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("backend")).agg(F.bool_and(F.col("l_discount") <= 0.1).alias("verified"))
 
 
-# Benchmark analysis, over runs derived from the supplier table.
+# Benchmark analysis, over literal runs: four backends at the ten densities of a sweep.
 
 RUNS_SQL = """r AS (SELECT backend, 32768 AS vertices, 32768 * d AS edges, CAST(d AS DOUBLE) AS density, CASE backend WHEN 'sequential' THEN 1 ELSE 8 END AS resources,
     0.01 * d AS overhead_seconds, 0.02 * d / CASE backend WHEN 'sequential' THEN 1 WHEN 'mpi' THEN 3 WHEN 'openmp' THEN 0.5 ELSE 20 END + 0.001 AS exec_seconds
@@ -416,13 +417,27 @@ def bench_run_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT backend, label, worker, took, share, times FROM (VALUES ('sequential', 'Sequential', 'core', '250.0 us', '12.5%', '1.50x'),
-    ('openmp', 'OpenMP', 'threads', '2.5 ms', '25.0%', '3.00x'), ('mpi', 'MPI', 'ranks', '500.0 ms', '50.0%', '6.00x'), ('cuda', 'CUDA', 'SM', '2.5 s', '75.0%', '9.00x')) t(backend, label, worker, took, share, times)"""
+    """SELECT backend, label, worker, took, share, times FROM (VALUES ('sequential', 'Sequential', '1 core', '250 us', '12.5%', '1.5x'), ('openmp', 'OpenMP', '8 thread', '12.346 ms', '25%', '3x'),
+    ('mpi', 'MPI', '8 processi', '500 ms', '33.3%', '4.07x'), ('cuda', 'CUDA', '1 GPU', '2.5 s', '100%', '22.1x')) t(backend, label, worker, took, share, times)"""
 )
 def bench_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("sequential", 0.00025, 0.125, 1.5), ("openmp", 0.0025, 0.25, 3.0), ("mpi", 0.5, 0.5, 6.0), ("cuda", 2.5, 0.75, 9.0)], "backend string, s double, p double, x double")
+    rows = [("sequential", 1, 0.00025, 1.0, 8.0, 1.5), ("openmp", 8, 0.0123456, 1.0, 4.0, 3.0), ("mpi", 8, 0.5, 1.0, 3.0, 4.0712), ("cuda", 1, 2.5, 5.0, 5.0, 22.1)]
+    frame = spark.createDataFrame(rows, "backend string, n int, s double, part double, total double, x double")
     b = F.col("backend")
-    return rows.select(b, S.backend_label(b).alias("label"), S.worker_unit(b).alias("worker"), S.duration(F.col("s")).alias("took"), S.percent(F.col("p")).alias("share"), S.ratio(F.col("x")).alias("times"))
+    return frame.select(b, S.backend_label(b).alias("label"), S.workers(b, F.col("n")).alias("worker"), S.duration(F.col("s")).alias("took"), S.percent(F.col("part"), F.col("total")).alias("share"), S.ratio(F.col("x")).alias("times"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT backend, edges, density, CAST(round(exec_seconds, 6) AS DOUBLE) AS exec_seconds FROM r")
+def bench_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs appended to a folder of CSV files, one backend after another, and read back together."""
+    import uuid
+
+    from grovekit.storage import work_dir
+
+    path = f"{work_dir(spark)}/grovekit/runs-{uuid.uuid4().hex}"
+    for backend in S.LABELS:
+        R.append_runs(_runs(spark).where(F.col("backend") == backend), path)
+    return R.read_runs(spark, path).select("backend", "edges", "density", F.round("exec_seconds", 6).alias("exec_seconds"))
 
 
 # Text functions, over lines made from orders.
@@ -457,16 +472,16 @@ def edge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_ids(_graph(spark, sf_dir, "supply_price").edges, "w", "eid", name="place").select("place", *UVW)
 
 
-@query(f"SELECT a.eid AS a, b.eid AS b FROM ({NATION}) a JOIN ({NATION}) b ON least(a.u, a.v) = least(b.u, b.v) AND greatest(a.u, a.v) = greatest(b.u, b.v) AND a.eid < b.eid")
+@query(f"SELECT eid, min(eid) OVER same AS first, count(*) OVER same AS n FROM ({NATION}) WINDOW same AS (PARTITION BY least(u, v), greatest(u, v))")
 def same_undirected_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of edges between the same two ends, whichever comes first."""
+    """Every edge with the first of those between the same two ends, whichever comes first, and their number."""
     e = _nations(spark, sf_dir).select("eid", encoded_key().alias("k"))
-    return e.alias("a").join(e.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.eid") < F.col("b.eid"))).select(F.col("a.eid").alias("a"), F.col("b.eid").alias("b"))
+    return e.join(e.groupBy("k").agg(F.min("eid").alias("first"), F.count(F.lit(1)).alias("n")), "k").select("eid", "first", "n")
 
 
-@query(O.forest("supply_mod3", "SELECT u || ' ' || v || ' ' || w AS line FROM msf"))
+@query(O.forest("supply_flags", "SELECT u || ' ' || v || ' ' || w AS line FROM msf"))
 def tree_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.tree_lines(minimum_spanning_forest(_graph(spark, sf_dir, "supply_mod3")))
+    return report.tree_lines(minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags")))
 
 
 SIZES = "(VALUES ('triangle', 3, 3), ('square', 4, 5), ('tie', 5, 5), ('test', 12, 29), ('sparse12', 12, 29), ('dense16', 16, 55))"
@@ -493,28 +508,44 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.json_report(forest, verify(graph, forest.edges), "test", {"exec": 0.0})
 
 
-@query()
+@query("""SELECT line FROM (VALUES ('MST weight = 30, edges = 11'), ('  1-2 (1)'), ('  7-8 (1)'), ('  2-4 (2)'), ('  5-8 (2)'), ('  9-11 (2)'), ('  0-2 (3)'), ('  4-5 (3)'), ('  8-10 (3)'), ('  3-6 (4)'), ('  10-11 (4)'), ('  3-5 (5)')) t(line)""")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.text_summary(minimum_spanning_forest(G.load(spark, "test")))
 
 
-def _generated(name: str, make: Callable[[SparkSession], Graph]) -> None:
-    query(None, name)(lambda spark, sf_dir: make(spark).edges)
+GENERATED: dict[str, tuple[tuple[int, int, int, int], Callable[[SparkSession], Graph]]] = {
+    "gen_random_int": ((2000, 12000, 1, 1000), lambda spark: G.random_connected(spark, 2000, 12000, 886261)),
+    "gen_random_double": ((2000, 12000, 1, 100), lambda spark: G.random_connected(spark, 2000, 12000, 886261, "uniform_int", permute=False)),
+    "gen_random_float": ((2000, 12000, 0, 1), lambda spark: G.random_connected(spark, 2000, 12000, 886261, "unit_float")),
+    "gen_random_simple": ((64, 191, 1, 100), lambda spark: G.load(spark, "random")),
+    "gen_large": ((32768, 229375, 1, 10000), lambda spark: G.load(spark, "large")),
+}
 
 
-_generated("gen_random_int", lambda spark: G.random_connected(spark, 2000, 12000, 886261))
-_generated("gen_random_double", lambda spark: G.random_connected(spark, 2000, 12000, 886261, "uniform_int", permute=False))
-_generated("gen_random_float", lambda spark: G.random_connected(spark, 2000, 12000, 886261, "unit_float"))
-_generated("gen_random_simple", lambda spark: G.load(spark, "random"))
+def _generated(name: str, sizes: tuple[int, int, int, int], make: Callable[[SparkSession], Graph]) -> None:
+    """What holds for every graph of the generator: its size, one component, no loop, weights in their range."""
+    n, m, low, high = sizes
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        graph = make(spark)
+        e = graph.edges.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("u") == F.col("v")).alias("loops"), F.count_if(~F.col("w").between(low, high)).alias("odd_weights"), F.countDistinct("eid").alias("ids"))
+        c = components(graph).agg(F.count(F.lit(1)).alias("vertices"), F.countDistinct("c").alias("components"))
+        return e.crossJoin(c)
 
-@query()
+    query(f"SELECT CAST({m} AS BIGINT) AS edges, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS odd_weights, CAST({m} AS BIGINT) AS ids, CAST({n} AS BIGINT) AS vertices, CAST(1 AS BIGINT) AS components", name)(run)
+
+
+for _name, (_sizes, _make) in GENERATED.items():
+    _generated(_name, _sizes, _make)
+
+
+@query(f"SELECT eid, u, v, CAST(w AS DOUBLE) AS w FROM ({O.named('dense16')})")
 def read_text_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph written as text and read back."""
     import uuid
 
-    from grovekit.storage import work_dir
+    from grovekit.storage import materialize, work_dir
 
     path = f"{work_dir(spark)}/grovekit/graph-{uuid.uuid4().hex}.txt"
     G.write_text(G.load(spark, "dense16"), path)
-    return G.read_text(spark, path).edges
+    return materialize(G.read_text(spark, path).edges, "read")

@@ -6,7 +6,8 @@ from grovekit.sources.graphs import LITERAL, literal_edges
 
 SUPPLY = {
     "supply": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, CAST(min(l_linenumber) AS BIGINT) AS w FROM lineitem GROUP BY ALL",
-    "supply_mod3": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, CAST(min(l_linenumber) AS BIGINT) AS w FROM lineitem WHERE l_suppkey % 3 = l_partkey % 3 GROUP BY ALL",
+    "supply_flags": """SELECT l_suppkey + f * 1000000000 AS u, 1000000 + l_partkey + f * 1000000000 AS v, CAST(min(l_linenumber) AS BIGINT) AS w
+        FROM (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS f FROM lineitem) GROUP BY ALL""",
     "supply_double": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, min(l_extendedprice) AS w FROM lineitem GROUP BY ALL",
     "supply_negative": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, CAST(-max(l_linenumber) AS BIGINT) AS w FROM lineitem GROUP BY ALL",
     "supply_price": "SELECT l_suppkey AS u, 1000000 + l_partkey AS v, min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS w FROM lineitem GROUP BY ALL",
@@ -67,3 +68,17 @@ def first_round(name: str, tail: str) -> str:
     succ AS MATERIALIZED (SELECT best.c, CASE WHEN e.u = best.c THEN e.v ELSE e.u END AS p FROM best JOIN e USING (k)),
     parent AS MATERIALIZED (SELECT a.c AS v, CASE WHEN b.p = a.c AND a.c < a.p THEN a.c ELSE a.p END AS c FROM succ a JOIN succ b ON b.c = a.p)
     {tail}"""
+
+
+def trace(name: str, most: int) -> str:
+    """(round, components) before the first round and after each of ``most`` rounds at most, each spelt out: best edges, then what they connect."""
+    parts = [f"WITH RECURSIVE {edges(name)}, {VERTICES}, lab0 AS MATERIALIZED (SELECT v, v AS c FROM vs)"]
+    for r in range(1, most + 1):
+        parts.append(f"""
+    x{r} AS MATERIALIZED (SELECT a.c AS ca, b.c AS cb, e.k FROM e JOIN lab{r - 1} a ON a.v = e.u JOIN lab{r - 1} b ON b.v = e.v WHERE a.c <> b.c),
+    best{r} AS MATERIALIZED (SELECT DISTINCT k FROM (SELECT c, min(k) AS k FROM (SELECT ca AS c, k FROM x{r} UNION ALL SELECT cb, k FROM x{r}) GROUP BY c)),
+    link{r} AS MATERIALIZED (SELECT ca AS a, cb AS b FROM x{r} JOIN best{r} USING (k) UNION SELECT cb, ca FROM x{r} JOIN best{r} USING (k)),
+    reach{r}(c, top) AS (SELECT a, a FROM link{r} UNION SELECT l.b, s.top FROM reach{r} s JOIN link{r} l ON l.a = s.c),
+    lab{r} AS MATERIALIZED (SELECT v, coalesce(top, p.c) AS c FROM lab{r - 1} p LEFT JOIN (SELECT c, min(top) AS top FROM reach{r} GROUP BY c) t ON t.c = p.c)""")
+    counts = " UNION ALL ".join(f"SELECT {r} AS round, count(DISTINCT c) AS components FROM lab{r}" for r in range(most + 1))
+    return f"{', '.join(parts)}, n AS ({counts}) SELECT CAST(round AS INTEGER) AS round, components FROM n WHERE round = 0 OR components < (SELECT p.components FROM n p WHERE p.round = n.round - 1)"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,18 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovekit.graph import Graph, dense_ids, normalized_ends
+from grovekit.storage import materialize
 
 EDGE = "eid long, u long, v long, w long"
 
-# The named graphs as u-v:w, in the order of their edge ids.
-TRIANGLE = "0-1:3 1-2:2 0-2:5"
-SQUARE = "0-1:1 1-2:2 2-3:3 3-0:4 0-2:1"
-TIE = "0-1:1 0-2:1 1-3:1 2-4:1 3-4:2"
-TEST = (
-    "0-1:4 0-2:3 0-3:8 1-2:1 1-4:7 1-5:9 2-4:2 2-5:6 2-6:7 3-5:5 3-6:4 3-7:9 4-5:3 4-7:8 4-8:6 5-7:4 5-8:2 6-8:7 6-9:6 7-8:1 7-10:5 8-10:3 8-11:9 "
-    "9-11:2 10-11:4 1-3:9 4-9:10 5-10:7 6-11:8"
-)
-LITERAL = {"triangle": (3, TRIANGLE), "square": (4, SQUARE), "tie": (5, TIE), "test": (12, TEST)}
+# The named graphs as their number of vertices and (u, v, w), in the order of their edge ids.
+LITERAL = {
+    "triangle": (3, [(0, 1, 3), (1, 2, 2), (0, 2, 5)]),
+    "square": (4, [(0, 1, 1), (1, 2, 2), (2, 3, 3), (3, 0, 4), (0, 2, 1)]),
+    "tie": (5, [(0, 1, 1), (0, 2, 1), (1, 3, 1), (2, 4, 1), (3, 4, 2)]),
+    "test": (12, [
+        (0, 1, 4), (0, 2, 3), (0, 3, 8), (1, 2, 1), (1, 4, 7), (1, 5, 9), (2, 4, 2), (2, 5, 6), (2, 6, 7), (3, 5, 5), (3, 6, 4), (3, 7, 9), (4, 5, 3), (4, 7, 8),
+        (4, 8, 6), (5, 7, 4), (5, 8, 2), (6, 8, 7), (6, 9, 6), (7, 8, 1), (7, 10, 5), (8, 10, 3), (8, 11, 9), (9, 11, 2), (10, 11, 4), (1, 3, 9), (4, 9, 10), (5, 10, 7), (6, 11, 8),
+    ]),
+}
 
 
 @dataclass(frozen=True)
@@ -47,12 +50,7 @@ DEFAULT_LARGE = RandomConfig(32768, 196608, 886261, 10000)
 
 
 def literal_edges(name: str) -> list[tuple[int, int, int, int]]:
-    out = []
-    for eid, edge in enumerate(LITERAL[name][1].split()):
-        pair, w = edge.split(":")
-        u, v = pair.split("-")
-        out.append((eid, int(u), int(v), int(w)))
-    return out
+    return [(eid, *edge) for eid, edge in enumerate(LITERAL[name][1])]
 
 
 def literal(spark: SparkSession, name: str) -> Graph:
@@ -148,32 +146,42 @@ def load(spark: SparkSession, name: str, config: RandomConfig | None = None) ->
 
 
 def read_text(spark: SparkSession, path: str) -> Graph:
-    """A text file: ``V E`` and then ``u v w`` on each line, between blanks; edge ids follow the lines.
+    """Text of ``V E`` and then ``u v w`` for each edge, between any blanks and line ends; edge ids follow the text.
 
-    ``ValueError`` if the header or the number of edges is wrong; a malformed
-    number fails the read.
+    A folder is read in the order of its files' names. What follows the last of
+    the ``E`` edges is ignored. ``ValueError`` if the header is wrong or edges are
+    missing; a malformed number fails the read. Where every edge has a line of
+    its own, lines are numbered, else every word is.
     """
     at = F.monotonically_increasing_id()
-    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), at.alias("line"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("t")).where("t <> ''")
-    numbered = dense_ids(lines, "block", "line", name="n").withColumn("p", F.split("t", " "))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("line"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("p")).where("p[0] <> ''")
+    numbered = materialize(dense_ids(lines, "file", "block", "line", name="n").select("n", "p"), "lines")
     head = numbered.where("n = 0").first()
-    if head is None or len(head.p) != 2:
+    if head is not None and len(head.p) == 2 and not numbered.where("n > 0 and size(p) <> 3").take(1):
+        p, words = F.col("p"), head.p
+        edges = numbered.where("n > 0").select((F.col("n") - 1).alias("eid"), p[0].alias("u"), p[1].alias("v"), p[2].alias("w"))
+    else:
+        each = dense_ids(numbered.select("n", F.posexplode("p").alias("at", "word")), "n", "at", name="i")
+        words = [r.word for r in each.where("i < 2").orderBy("i").collect()]
+        part = lambda k: F.max(F.when((F.col("i") - 2) % 3 == k, F.col("word")))
+        rest = each.where("i >= 2").groupBy(F.floor((F.col("i") - 2) / 3).cast("long").alias("eid"))
+        edges = rest.agg(part(0).alias("u"), part(1).alias("v"), part(2).alias("w")).where("w is not null")
+    if len(words) != 2 or not all(re.fullmatch("[0-9]+", x) for x in words):
         raise ValueError(f"{path}: no header")
-    p = F.col("p")
-    edges = numbered.where("n > 0").select((F.col("n") - 1).alias("eid"), p[0].cast("long").alias("u"), p[1].cast("long").alias("v"), p[2].cast("double").alias("w"))
-    vertices, count = map(int, head.p)
+    vertices, count = map(int, words)
+    edges = edges.where(F.col("eid") < count).select("eid", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w"))
     if (found := edges.count()) != count:
         raise ValueError(f"{path}: {found} edges, not {count}")
     return Graph.from_edges(edges, vertices)
 
 
 def write_text(graph: Graph, path: str) -> None:
-    """The inverse of ``read_text``, as a folder with a file for the header and one for each range of edges."""
+    """The inverse of ``read_text``, as a folder of files in order, each with a range of edges; the first begins with the header."""
     n, m = graph.vertex_ids().count(), graph.edges.count()
     spark = graph.edges.sparkSession
     head = spark.createDataFrame([(-1, f"{n} {m}")], "eid long, value string")
     body = graph.edges.select("eid", F.concat_ws(" ", "u", "v", "w").alias("value"))
-    head.unionByName(body).orderBy("eid").select("value").coalesce(1).write.text(path)
+    head.unionByName(body).orderBy("eid").select("value").write.text(path)
 
 
 # Graphs derived from the tables.
@@ -191,18 +199,18 @@ def _with_id(edges: DataFrame) -> Graph:
 def supply(spark: SparkSession, sf_dir: str, kind: str = "supply") -> Graph:
     """Suppliers and parts that meet in an order line.
 
-    ``supply``: weighted by the least line number; ``supply_mod3``: only pairs
-    of equal remainder by 3, so there are several components; ``supply_price``:
+    ``supply``: weighted by the least line number; ``supply_flags``: apart for
+    each return flag, so there are several components; ``supply_price``:
     weighted by the least price in cents; ``supply_double``: by the price as it
     is; ``supply_negative``: by the greatest line number, negated, so that the
     forest is a heaviest one.
     """
     lines = table(spark, sf_dir, "lineitem")
-    if kind == "supply_mod3":
-        lines = lines.where("l_suppkey % 3 = l_partkey % 3")
+    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    apart = flag * F.lit(1_000_000_000) if kind == "supply_flags" else F.lit(0)
     weights = {"supply_price": F.round(F.col("l_extendedprice") * 100).cast("long"), "supply_double": F.col("l_extendedprice"), "supply_negative": -F.col("l_linenumber").cast("long")}
     w = weights.get(kind, F.col("l_linenumber").cast("long"))
-    ends = lines.select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v"), w.alias("w"))
+    ends = lines.select((F.col("l_suppkey") + apart).alias("u"), (F.col("l_partkey") + apart + 1000000).alias("v"), w.alias("w"))
     return _with_id(ends.groupBy("u", "v").agg(F.min("w").alias("w")))
 
 

@@ -7,11 +7,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from grovekit.graph import Graph, InvalidGraph, ranked
+from grovekit.graph import Graph, InvalidGraph, encoded_key, packed_key, ranked
 from grovekit.operators.components import connected_components, union_find
 from grovekit.operators.forest import component_trace, components, minimum_spanning_forest
-from grovekit.operators.verify import verify
+from grovekit.operators.verify import faults, verify
 from grovekit.sources import graphs as G
+from grovekit.storage import discard, materialize, scratch, work_dir
 
 GOLDEN = {
     "triangle": (5, [0, 1], [3, 1]),
@@ -48,10 +49,14 @@ def random_edges(seed, n, m, weights, kind=int):
     return [(i, rnd.randrange(n), rnd.randrange(n), kind(rnd.randint(*weights))) for i in range(m)]
 
 
-@pytest.mark.parametrize("name", GOLDEN)
-def test_named_graphs(spark, name):
+@pytest.mark.parametrize(
+    ("name", "strategy", "tail"),
+    [*((name, "boruvka", 1 << 20) for name in GOLDEN), ("test", "boruvka", 0), ("test", "boruvka", 10), ("test", "filter", 1 << 20), ("test", "filter", 5), ("test", "kruskal", 1 << 20), ("dense16", "boruvka", 0)],
+)
+def test_named_graphs(spark, name, strategy, tail):
+    """Edges, weight and the trace of rounds, by default and wherever the rounds run."""
     weight, expected, trace = GOLDEN[name]
-    forest = minimum_spanning_forest(G.load(spark, name), tail_edges=0)
+    forest = minimum_spanning_forest(G.load(spark, name), strategy, tail)
     assert ids(forest) == expected
     assert forest.edges.agg(F.sum("w")).first()[0] == weight
     assert component_trace(forest) == trace
@@ -132,6 +137,69 @@ def test_verification_finds_differences(spark):
     assert not verify(graph, forest.limit(2)).first().success
 
 
+def test_faults_need_no_second_forest(spark):
+    for seed in range(4):
+        edges = random_edges(seed, 30, 90, (1, 6))
+        graph = Graph.from_edges(spark.createDataFrame(edges, G.EDGE).repartition(3), 32)
+        forest = minimum_spanning_forest(graph).edges.cache()
+        assert not any(faults(graph, forest).values())
+        assert verify(graph, forest, most=0).first().success
+    inside = set(ids(minimum_spanning_forest(graph)))
+    out = [e for e in edges if e[0] not in inside and e[1] != e[2]]
+    more = forest.select("eid", "u", "v", "w").unionByName(spark.createDataFrame(out[:1], G.EDGE))
+    assert faults(graph, more)["cycles"] == 1
+    assert faults(graph, forest.where(F.col("eid") != min(inside)))["open"] > 0
+    assert faults(graph, more.unionByName(spark.createDataFrame([(999, 1, 2, 1)], G.EDGE)))["unknown"] == 1
+    square = G.load(spark, "square")
+    heavy = square.edges.where("eid in (0, 2, 1)")
+    assert faults(square, heavy)["lighter"] == 1 and not verify(square, heavy, most=0).first().success
+    row = verify(square, heavy, most=0).first()
+    assert (row.expected_total_weight, row.actual_total_weight, row.actual_edge_count) == (None, 6, 3)
+
+
+def test_packed_keys_refuse_what_does_not_fit(spark):
+    for row in ((1 << 31, 0), (0, 1 << 32), (0, -1)):
+        with pytest.raises(Exception, match="too large"):
+            spark.createDataFrame([row], "w long, eid long").select(packed_key()).collect()
+    with pytest.raises(Exception, match="too large"):
+        spark.createDataFrame([(1, 1 << 31)], "u long, v long").select(encoded_key()).collect()
+
+
+def test_storage(spark, monkeypatch):
+    with scratch(spark) as kept:
+        a, b = (materialize(spark.range(3), "x") for _ in range(2))
+        kept.append(b)
+    assert b.count() == 3
+    with pytest.raises(Exception, match="exist"):
+        a.count()
+    discard(b, spark.range(1))
+    with pytest.raises(Exception, match="exist"):
+        b.count()
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return Context
+
+        @staticmethod
+        def getCheckpointDir():
+            return Context
+
+        @staticmethod
+        def isDefined():
+            return False
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        work_dir(Session)
+
+
 def test_validation(spark):
     bad = [(0, 1, 2, 1.0), (0, 1, 3, float("nan")), (2, None, 1, 2.0), (3, 1, 9, None), (None, 1, 2, 1.0)]
     graph = Graph.from_edges(spark.createDataFrame(bad, "eid long, u long, v long, w double"), 4)

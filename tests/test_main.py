@@ -16,14 +16,26 @@ def test_run(spark, tmp_path, capsys):
     path = tmp_path / "report.json"
     assert main(["--graph=triangle", "--report", str(path), "--render"], spark) == 0
     out = capsys.readouterr().out
-    assert "MSF weight 5, 2 edges" in out and "verification=MATCH" in out and "#" in out
-    assert json.loads(path.read_text())["mst"]["selected_edge_count"] == 2
+    assert "MST weight = 5, edges = 2\n  0-1 (3)\n  1-2 (2)\n" in out and "verification=MATCH" in out and "#" in out
+    made = json.loads(path.read_text())
+    assert made["mst"]["selected_edge_count"] == 2 and made["mst"]["rounds"] == 1
+    assert made["configuration"] == {"render_requested": True, "render_enabled": True}
+    assert made["graph"]["source"] == "named" and made["timings"]["total_seconds"] > made["timings"]["scan_seconds"] > 0
+    assert len(made["telemetry_details"]) == 9
+
+
+def test_sources_are_told(spark, tmp_path, capsys):
+    (tmp_path / "g.txt").write_text("3 2 0 1 2.5 1\n2 1.5")
+    for args, source in ((["--input", f"file://{tmp_path}/g.txt"], "file"), (["--generate", "30", "60"], "generated"), (["--graph", "random"], "random")):
+        assert main([*args, "--report", str(tmp_path / "r.json"), "--benchmark"], spark) == 0
+        made = json.loads((tmp_path / "r.json").read_text())
+        assert made["graph"]["source"] == source and made["configuration"] == {"render_enabled": False}
 
 
 def test_generated_benchmark(spark, capsys):
     assert main(["--generate", "40", "90", "3", "--benchmark", "--strategy", "filter"], spark) == 0
     out = capsys.readouterr().out
-    assert "selected_edge_count=39" in out and "MSF weight" not in out
+    assert "selected_edge_count=39" in out and "MST weight" not in out
 
 
 @pytest.mark.parametrize("args", [["--graph", "none"], ["--graph", "random", "--random-vertices", "1"], ["--generate", "5", "2", "1"], ["--strategy", "x"]])

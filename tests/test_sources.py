@@ -72,6 +72,15 @@ def test_text_with_odd_blanks(spark, tmp_path):
     (tmp_path / "g.txt").write_text("\n  3\t2 \n0 1   2.5\n\n 1\t2 -1\n")
     graph = G.read_text(spark, f"file://{tmp_path}/g.txt")
     assert rows(graph.edges) == [(0, 0, 1, 2.5), (1, 1, 2, -1.0)]
+    (tmp_path / "stream.txt").write_text("3\n2 0 1\n2.5 1 2 -1 and more")
+    assert rows(G.read_text(spark, f"file://{tmp_path}/stream.txt").edges) == [(0, 0, 1, 2.5), (1, 1, 2, -1.0)]
+    (tmp_path / "parts").mkdir()
+    for name, text in (("part-1", "2 3 1\n"), ("part-0", "4 3\n0 1 5\n1 2 4\n"), ("part-2", "\n")):
+        (tmp_path / "parts" / name).write_text(text)
+    assert rows(G.read_text(spark, f"file://{tmp_path}/parts").edges) == [(0, 0, 1, 5.0), (1, 1, 2, 4.0), (2, 2, 3, 1.0)]
+    (tmp_path / "none.txt").write_text("x\n")
+    with pytest.raises(ValueError, match="header"):
+        G.read_text(spark, f"file://{tmp_path}/none.txt")
     (tmp_path / "bad.txt").write_text("3 5\n0 1 2\n")
     with pytest.raises(ValueError, match="edges"):
         G.read_text(spark, f"file://{tmp_path}/bad.txt")
@@ -89,7 +98,7 @@ def test_reports(spark, tmp_path):
     path = tmp_path / "deep" / "r.json"
     assert report.write_report(report.json_report(forest, checked, "x", {}), str(path)) and json.loads(path.read_text())
     assert not report.write_report(checked, None)
-    assert [r.line for r in report.text_summary(forest).collect()] == ["MSF weight 5, 3 edges", "0 - 1 : 1", "0 - 2 : 1", "2 - 3 : 3"]
+    assert [r.line for r in report.text_summary(forest).collect()] == ["MST weight = 5, edges = 3", "  0-1 (1)", "  0-2 (1)", "  2-3 (3)"]
     lines = report.key_values(forest, {"overhead": 1.0, "exec": 2.0, "verify": 5.0}, True)
     assert "total_seconds=3.000000" in lines and "verification=MATCH" in lines
 
