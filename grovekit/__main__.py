@@ -69,7 +69,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         for r in report.text_summary(forest).toLocalIterator():
             print(r.line)
         if a.render:
-            print(drawing(forest))
+            print(drawing(forest, colours=sys.stdout.isatty()))
     timings["total"] = time.perf_counter() - began
     print(*report.key_values(forest, timings, success), sep="\n")
     report.write_report(report.json_report(forest, checked, name, timings, random, source, (a.render, bool(a.render) and not a.benchmark)), a.report)

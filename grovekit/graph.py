@@ -34,6 +34,10 @@ class Graph:
     def vertex_ids(self) -> DataFrame:
         return self.vertices if self.vertices is not None else ends(self.edges).distinct()
 
+    def written(self) -> Graph:
+        """The same with its edges in the shared folder, for what reads them more than once."""
+        return replace(self, edges=materialize(self.edges, "graph"))
+
     def normalized(self) -> Graph:
         """Ends in order, the smaller first."""
         return replace(self, edges=self.edges.select("eid", *normalized_ends(), "w"))

@@ -79,26 +79,26 @@ for _name in (*G.LITERAL, "dense16"):
     )
 )
 def msf_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags"))
+    forest = minimum_spanning_forest(_graph(spark, sf_dir, "supply_flags").written())
     s = report.summary(forest)
     return s.select("vertex_count", "input_edge_count", "selected_edge_count", (F.col("vertex_count") - F.col("selected_edge_count")).alias("component_count"), "total_weight")
 
 
 @query(O.forest("supply", "SELECT true AS success, CAST(sum(w) AS BIGINT) AS expected_total_weight, CAST(sum(w) AS BIGINT) AS actual_total_weight, count(*) AS expected_edge_count, count(*) AS actual_edge_count FROM msf"))
 def verify_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _graph(spark, sf_dir, "supply")
+    graph = _graph(spark, sf_dir, "supply").written()
     return verify(graph, minimum_spanning_forest(graph).edges)
 
 
 @query(O.forest("supply", "SELECT k IN (SELECT k FROM msf) AS is_msf, u, v, w FROM e"))
 def msf_membership_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _graph(spark, sf_dir, "supply")
+    graph = _graph(spark, sf_dir, "supply").written()
     return membership(graph, minimum_spanning_forest(graph)).select("is_msf", *UVW)
 
 
 @query(O.forest("supply", "SELECT u, v, w FROM e WHERE k NOT IN (SELECT k FROM msf)"))
 def non_msf_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = _graph(spark, sf_dir, "supply")
+    graph = _graph(spark, sf_dir, "supply").written()
     return left_out(graph, minimum_spanning_forest(graph)).select(*UVW)
 
 
@@ -128,12 +128,12 @@ def round_trace_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.forest("supply_flags", "SELECT v, c FROM last"), "components")
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_flags"))
+    return components(_graph(spark, sf_dir, "supply_flags").written())
 
 
 @query(O.forest("supply_flags", "SELECT v, c FROM last"))
 def components_by_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_flags"), tail_edges=0)
+    return components(_graph(spark, sf_dir, "supply_flags").written(), tail_edges=0)
 
 
 @query(O.forest("supply_flags", "SELECT v, c FROM last"))
@@ -143,12 +143,12 @@ def components_of_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(O.forest("supply_flags", "SELECT c, count(*) AS size FROM last GROUP BY c"))
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_flags")).groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    return components(_graph(spark, sf_dir, "supply_flags").written()).groupBy("c").agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(O.forest("supply_flags", "SELECT count(DISTINCT c) AS n FROM last"))
 def component_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(_graph(spark, sf_dir, "supply_flags")).agg(F.countDistinct("c").alias("n"))
+    return components(_graph(spark, sf_dir, "supply_flags").written()).agg(F.countDistinct("c").alias("n"))
 
 
 # The steps of a round, each on the first round of the supply graph.

@@ -7,7 +7,7 @@ import json
 import pytest
 
 from grovekit.__main__ import main
-from grovekit.functions.layout import drawing, layout
+from grovekit.functions.layout import FOREST_COLOUR, PALETTE, PLAIN, drawing, layout, painted
 from grovekit.operators.forest import minimum_spanning_forest
 from grovekit.sources import graphs as G
 
@@ -50,6 +50,17 @@ def test_layout(spark):
     assert len(places) == 12 and len(set(places.values())) == 12
     assert all(0 <= x <= 1 and 0 <= y <= 1 for x, y in places.values())
     large = minimum_spanning_forest(G.random_connected(spark, 129, 200, 1))
-    assert drawing(large) == "graph of 129 vertices and 200 edges, not drawn"
+    weight = large.edges.agg({"w": "sum"}).first()[0]
+    assert drawing(large) == f"Graph visualization skipped for large graph: vertices = 129, edges = 200, MST weight = {weight}, MST edges = 128"
     with pytest.raises(ValueError, match="128"):
         layout(large.graph)
+
+
+def test_vertices_stand_above_weights():
+    place = {0: (2, 1), 1: (8, 1), 2: (5, 1)}
+    rows = painted([(0, 1, 9, False)], place, 11, 3).split("\n")
+    assert rows[1][5] == "2" and rows[1][2] == "0" and rows[1][8] == "1"
+    rows = painted([(0, 1, 9, True)], {0: (2, 1), 1: (8, 1)}, 11, 3).split("\n")
+    assert rows[1] == "  0# 9 ##1" or " 9 " in rows[1]
+    coloured = painted([(0, 1, 9, True), (0, 2, 4, False)], {0: (0, 0), 1: (9, 0), 2: (0, 5)}, 11, 6, True)
+    assert FOREST_COLOUR in coloured and PALETTE[2 % 5] in coloured and coloured.count("\x1b") >= 2 * coloured.count(PLAIN)
