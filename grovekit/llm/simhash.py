@@ -75,10 +75,11 @@ def _fingerprint(width: int):
 def tile(fp: Column, segments: int, shift: dict[int, int] | None = None) -> Column:
     """The population counts of the segments as one number; ``shift`` moves some of them."""
     bits = 64 // segments
+    base = bits + 5  # of a count, moved by two at most
     whole = F.lit(0).cast("long")
     for k in range(segments):
         count = F.bit_count(F.shiftrightunsigned(fp, k * bits).bitwiseAND(F.lit((1 << bits) - 1))).cast("long")
-        whole = whole * F.lit(64) + count + F.lit((shift or {}).get(k, 0) + 2)
+        whole = whole * F.lit(base) + count + F.lit((shift or {}).get(k, 0) + 2)
     return whole
 
 
@@ -127,24 +128,29 @@ def _compare(radius: int):
     return run
 
 
-def near_links(points: DataFrame, radius: int, segments: int = 4, most: int = MOST_TILE) -> DataFrame:
+#: Fingerprints of a tile that are compared in one task.
+TILE = 1 << 14
+
+
+def near_links(points: DataFrame, radius: int, segments: int = 4, most: int = TILE) -> DataFrame:
     """(u, v): links that connect all of ``points`` (fp long, rep long) within ``radius`` bits, directly or along others.
 
     Each fingerprint is sent to its own tile and, as a visitor, to one of each
     two opposite neighbouring tiles; the number of these depends on the radius
     alone. Tiles of more than ``most`` rows are split, and every two parts are a
-    task. With 8 segments the tiles are smaller and the visits more.
+    task. With more segments the tiles are smaller and the visits more.
     """
     homes = [F.struct(tile(F.col("fp"), segments).alias("tile"), F.lit(0).cast("byte").alias("visit"))]
     visits = [F.struct(tile(F.col("fp"), segments, m).alias("tile"), F.lit(1).cast("byte").alias("visit")) for m in neighbours(segments, radius)]
-    dealt = points.select(F.explode(F.array(*homes, *visits)).alias("to"), "fp", "rep").select("to.tile", "to.visit", "fp", "rep")
-    tasks = tiled(dealt, "tile", "rep", most=most)
+    spread = points.repartition(partitions(points, 4 * len(visits)), "fp")  # a few files would give a few tasks
+    dealt = spread.select(F.explode(F.array(*homes, *visits)).alias("to"), "fp", "rep").select("to.tile", "to.visit", "fp", "rep")
+    tasks = tiled(dealt, "tile", "rep", most=most, least=most)
     ordered = tasks.repartition(partitions(points, 4 * len(visits)), "tile", "task").sortWithinPartitions("tile", "task")
     return ordered.mapInArrow(_compare(radius), "u long, v long")
 
 
-#: Beyond so many different fingerprints, tiles are those of 8 segments instead of 4; the links are the same.
-FEW_POINTS = 1 << 26
+#: Segments of the tiles, and the different fingerprints up to which they hold; the links are the same with any.
+SEGMENTS = ((4, 1 << 22), (8, 1 << 62))
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segments: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +167,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = 2, segment
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = materialize(source.mapInArrow(_fingerprint(width), "doc_id long, fp long"), "fingerprints")
     points = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
-    segments = segments or (4 if points.count() <= FEW_POINTS else 8)
+    n = points.count()
+    segments = segments or next(s for s, most in SEGMENTS if n <= most)
     label = connected_components(near_links(points.where("rep is not null"), radius, segments))
     named = points.where("rep is not null").join(label.select(F.col("v").alias("rep"), "c"), "rep", "left")
     table = named.select("fp", "n", F.coalesce("c", "rep").alias("component_id")).unionByName(points.where("rep is null").select("fp", "n", F.col("rep").alias("component_id")))
@@ -271,7 +278,7 @@ def similar_links(points: DataFrame, words: int, radius: int, tile: int = MOST_T
 
     Keys of more nodes than a tile holds are split, and every two parts are a task.
     """
-    tasks = tiled(points, "key", "node", most=tile, least=min(tile, 256))
+    tasks = tiled(points, "key", "node", most=tile, least=tile)
     ordered = tasks.repartition(partitions(points), "key", "task").sortWithinPartitions("key", "task")
     return ordered.select("key", "task", "part", "node", *[f"fp{w}" for w in range(words)]).mapInArrow(_blocks(words, radius), "u long, v long")
 
