@@ -24,9 +24,9 @@ from grovekit.llm.common import pieces
 from grovekit.llm.pretokens import Memory, matcher, split_chunk
 
 #: Words that a worker keeps, the longest that it does, and the pairs of tokens whose rank it knows.
-WORDS, LONG_WORD, PAIRS = 400_000, 100, 2_000_000
+WORDS, LONG_WORD, PAIRS = 200_000, 100, 500_000
 #: Bytes of text whose new words are replayed together; what the replay holds is some hundred times that.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

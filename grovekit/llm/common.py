@@ -50,7 +50,7 @@ def unit(*parts: Column | str, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has about ``limit`` bytes in each, one row at least."""
     for batch in batches:
         done, held = 0, 0

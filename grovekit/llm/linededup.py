@@ -37,7 +37,7 @@ PAIRED = 64
 #: Longer lines are hashed segment by segment, which holds no array of numbers for each of their points.
 LONG = 1 << 20
 #: Lines that a task remembers so as not to deal them twice.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Candidate lines up to so many (8 MB of ids) are broadcast to fetch their texts.
 BROADCAST_IDS = 1_000_000
 ODD = 0x9E3779B97F4A7C15
@@ -173,7 +173,7 @@ def bag_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _dealt(threshold: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in pieces(batches, "text", 2_000_000):
+        for b in pieces(batches, "text", 500_000):
             found = dict.fromkeys(x for t in b["text"].to_pylist() for x in lines_of(t) if allowed(len(x), threshold, share) and not is_blank(x))
             ids = {x: i for x in found if (i := line_id(x)[0]) not in seen}
             if len(seen) > REMEMBERED:

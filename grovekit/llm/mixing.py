@@ -31,7 +31,7 @@ DIRECTIONS, BUCKETS, LANGUAGES = 3, 64, 64
 #: Vectors have whole numbers up to this, so that their sums don't depend on the order of rows.
 SCALE = 1024
 #: Words whose buckets a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Share of all tokens in the mixture, and the powers that flatten the shares of each marginal.
 BUDGET, FLATTEN = 0.8, {"source": 0.7, "lang": 0.7, "topic": 0.5}
 ROUNDS, TOLERANCE = 200, 1e-9
@@ -72,7 +72,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over the texts of a task: the products of buckets, then for each language the buckets and the number of texts."""
     places, products, sums = Places(), np.zeros((BUCKETS, BUCKETS), np.int64), np.zeros((LANGUAGES + 1, BUCKETS + 1), np.int64)
     for b in pieces(batches, "text"):
-        x = np.array([vector(words_of(t), places) for t in b["text"].to_pylist()], np.int64).reshape(-1, BUCKETS)
+        x = np.array([vector(words_of(t.as_py()), places) for t in b["text"]], np.int64).reshape(-1, BUCKETS)
         products += x.T @ x
         np.add.at(sums, [language(v) for v in b["lang"].to_pylist()], np.c_[x, np.ones(len(x), np.int64)])
     flat = np.r_[products.ravel(), sums.ravel()]
@@ -110,11 +110,13 @@ def _measured(topics: Topics):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for b in pieces(batches, "text"):
-            words = [words_of(t) for t in b["text"].to_pylist()]
-            x = np.array([vector(w, places) for w in words], np.int64).reshape(-1, BUCKETS)
+            x, counts = np.zeros((b.num_rows, BUCKETS), np.int64), np.zeros(b.num_rows, np.int64)
+            for i, t in enumerate(b["text"]):  # one text's words at a time
+                words = words_of(t.as_py())
+                x[i], counts[i] = vector(words, places), len(words)
             found = topics.topic(x, b["lang"].to_pylist())
             kept = {c: b[c] for c in b.schema.names if c != "text"}
-            yield pa.record_batch({**kept, "topic": pa.array([str(t) for t in found], pa.string()), "n_tokens": pa.array([len(w) for w in words], pa.int64())})
+            yield pa.record_batch({**kept, "topic": pa.array([str(t) for t in found], pa.string()), "n_tokens": pa.array(counts)})
 
     return run
 

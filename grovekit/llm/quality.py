@@ -30,7 +30,7 @@ SAMPLE_ROWS = 4096
 #: The model: terms that most of the sample's texts have, latent dimensions, neighbours that vote, and the power of a cosine in a vote.
 TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS = 1024, 64, 25, 8
 #: Longer terms go by a digest. Texts that are scored together; decimals of a cosine.
-TERM_BYTES, BLOCK, DECIMALS = 16, 512, 9
+TERM_BYTES, BLOCK, DECIMALS = 16, 128, 9
 
 _CLASS = bytes(
     97 if chr(b).islower() and b < 128 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in b" \t\r\x0b\x0c" else b
