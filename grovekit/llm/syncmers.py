@@ -30,6 +30,8 @@ K, S = 24, 8
 #: Anchors of a fingerprint at most, of 4 bytes each.
 SIZE = 64
 BLOCK = 1 << 21
+#: Buckets at most that rows are dealt into, and so bounds that the driver holds, whatever the input; at 100 TB a bucket has 1.6 GB, which is sorted with spilling and read as a stream.
+BUCKETS = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,7 +216,8 @@ def with_next(docs: DataFrame, key: str, descending_parts: int) -> DataFrame:
     that the driver gets. Adds bucket int and tail boolean.
     """
     keys = docs.select(key)
-    cuts = sorted({float(x) for x in keys.approxQuantile(key, [i / descending_parts for i in range(1, descending_parts)], 0.2 / descending_parts)})
+    shares = [i / descending_parts for i in range(1, descending_parts)]
+    cuts = sorted({float(x) for x in keys.approxQuantile(key, shares, 0.2 / descending_parts)}) if shares else []
     bounds = np.array(cuts)
 
     @F.pandas_udf("int")
@@ -248,7 +251,7 @@ def compare_with_edits(docs: DataFrame, *, k: int = K, s: int = S, size: int = S
     if not n:
         return docs.sparkSession.createDataFrame([], OUT)
     key = F.col("doc_id") if n == ids else F.coalesce("doc_id", F.lit(-(1 << 62)) - F.crc32(F.col("text").cast("binary")))
-    parts = partitions(docs)
-    dealt = with_next(source.withColumn("key", key), "key", 8 * parts)
+    parts = min(partitions(docs), BUCKETS)
+    dealt = with_next(source.withColumn("key", key), "key", min(8 * parts, BUCKETS))
     ordered = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc("key"), "text")
     return ordered.select("bucket", "tail", "doc_id", "text").mapInArrow(_pairs(k, s, size), OUT)

@@ -210,6 +210,13 @@ def test_edits(odd, none, make):
     assert by[3].near_next < 0.05 < 0.2 < by[3].near_edited < 0.6
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_few_buckets_give_the_same(odd, monkeypatch, buckets):
+    expected = sorted(map(repr, syncmers.compare_with_edits(odd).collect()))
+    monkeypatch.setattr(syncmers, "BUCKETS", buckets)
+    assert sorted(map(repr, syncmers.compare_with_edits(odd).collect())) == expected
+
+
 def brute_fingerprint(text):
     """The smallest different anchor hashes in the order of their first positions, one anchor after another."""
     _, pos, h = syncmers.anchors([text])
