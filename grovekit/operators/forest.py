@@ -8,9 +8,11 @@ forest's edges alone are those over all edges, wherever they are counted.
 from __future__ import annotations
 
 import time
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -26,7 +28,7 @@ from grovekit.storage import discard, materialize
 
 #: With so many contracted edges or fewer (24 MB), one task ends the work.
 TAIL_EDGES = 1 << 20
-#: ``kruskal`` takes so many times that (about 1.3 GB in its task).
+#: ``kruskal`` takes so many times that in one task, and of more edges half as many at a time.
 KRUSKAL_TIMES = 8
 #: Edges of a partition that are reduced to their forest together.
 CHUNK = 1 << 19
@@ -87,26 +89,35 @@ def by_rounds(k: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray,
     return k[order][np.concatenate(picked)], np.concatenate(round_of)
 
 
-def _picks(k: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Kruskal's way, which shares nothing with the rounds: the ranks that join two trees, in order; stops once one tree is left."""
+def _joined(k: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kruskal's way, which shares nothing with the rounds: the ranks that join two trees, in order, then the ends and the smallest end of each one's tree."""
     order = np.argsort(k, kind="stable")
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)][order].tolist(), at[len(u) :][order].tolist()
-    up, left, out = list(range(len(nodes))), len(nodes) - 1, []
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        while up[y] != y:
-            up[y] = up[up[y]]
-            y = up[y]
-        if x != y:
-            up[max(x, y)] = min(x, y)
-            out.append(i)
-            left -= 1
-            if not left:
-                break
-    return k[order[out]]
+    a, b = at[: len(u)][order], at[len(u) :][order]
+    up, left, out = array("q", range(len(nodes))), len(nodes) - 1, []
+    for first in range(0, len(order), CHUNK):
+        part = slice(first, first + CHUNK)
+        for i, (x, y) in enumerate(zip(a[part].tolist(), b[part].tolist(), strict=True), first):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            while up[y] != y:
+                up[y] = up[up[y]]
+                y = up[y]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append(i)
+                left -= 1
+        if not left:  # one tree is left
+            break
+    top = np.array(up)
+    while not np.array_equal(above := top[top], top):
+        top = above
+    return k[order[out]], nodes, nodes[top]
+
+
+def _picks(k: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _joined(k, u, v)[0]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[pa.Table]:
@@ -204,13 +215,58 @@ def filtered(work: DataFrame, tail_edges: int, seconds: dict[str, float]) -> Dat
     return boruvka(left, tail_edges, seconds)
 
 
+def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's edges: rows with a picked rank (k), and rows with an end and the smallest one of its tree (v, c)."""
+    for whole in _chunks(batches, 1 << 62):
+        k, v, c = _joined(*(whole[x].to_numpy() for x in ("k", "cu", "cv")))
+        none = pa.nulls(len(k), pa.int64())
+        yield from pa.table({"k": pa.array(k), "v": none, "c": none}).to_batches(CHUNK)
+        yield from pa.table({"k": pa.nulls(len(v), pa.int64()), "v": pa.array(v), "c": pa.array(c)}).to_batches(CHUNK)
+
+
+def _between(work: DataFrame, tree: DataFrame) -> DataFrame:
+    """``work`` between the trees (v, c), the first edge of each two."""
+    for end in ("cu", "cv"):
+        work = work.join(tree.select(F.col("v").alias(end), F.col("c").alias("top")), end, "left").withColumn(end, F.coalesce("top", end)).drop("top")
+    ends = F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv")
+    return work.where("cu <> cv").groupBy(*ends).agg(F.min("k").alias("k")).select("k", "cu", "cv")
+
+
+def _by_blocks(work: DataFrame, most: int) -> DataFrame:
+    """(k): Kruskal's picks, ``most`` edges at a time in the order of ranks: a task joins trees along them, and what they have joined leaves the edges that follow."""
+    bits, left, found = most.bit_length() - 1, work, []
+    while counts := sorted(left.groupBy(F.shiftright("k", bits).alias("p")).count().collect()):
+        held, end = 0, 0
+        for p, n in counts:  # none has more than ``most``, as ranks differ
+            if held + n > most:
+                break
+            held, end = held + n, (p + 1) << bits
+        block = materialize(left.where(F.col("k") < end).repartition(1).mapInArrow(_block, "k long, v long, c long"), "block")
+        found.append(block.where("k is not null").select("k"))
+        if held == sum(n for _, n in counts):
+            break
+        before, left = left, materialize(_between(left.where(F.col("k") >= end), block.where("k is null")), "work")
+        if before is not work:
+            discard(before)
+    return materialize(reduce(DataFrame.unionByName, found), "picks")
+
+
 def kruskal(work: DataFrame, tail_edges: int, seconds: dict[str, float]) -> DataFrame:
-    """One task over all edges, in order: the independent check. ``ValueError`` beyond ``tail_edges`` times ``KRUSKAL_TIMES``."""
-    n = work.count()
-    if n > KRUSKAL_TIMES * tail_edges:
-        raise ValueError(f"kruskal is for {KRUSKAL_TIMES * tail_edges} edges at most, not {n}; use boruvka")
+    """All edges in order, the independent check: by one task, and beyond ``tail_edges`` times ``KRUSKAL_TIMES`` by one after the other.
+
+    ``ValueError`` if a task may hold none.
+    """
+    n, most = work.count(), KRUSKAL_TIMES * tail_edges
+    if n and not most:
+        raise ValueError("kruskal needs a task that holds edges; use boruvka")
+    if n <= most:
+        with phase(seconds, "reduce"):
+            return materialize(work.coalesce(1).mapInArrow(_whole(1, _picks), PICK), "kruskal")
     with phase(seconds, "reduce"):
-        return materialize(work.coalesce(1).mapInArrow(_whole(1, _picks), PICK), "kruskal")
+        picks = _by_blocks(work, most // 2)
+        tree = materialize(work.join(picks, "k", "left_semi"), "tree")
+    # The rounds only number the picks.
+    return picks.join(boruvka(tree, tail_edges, seconds), "k", "left")
 
 
 STRATEGIES: dict[str, Strategy] = {"boruvka": boruvka, "filter": filtered, "kruskal": kruskal}
