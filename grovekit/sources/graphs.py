@@ -191,9 +191,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _with_id(edges: DataFrame) -> Graph:
-    """The id follows (u, v), so no sort is needed for one."""
-    return Graph.from_edges(edges.select(F.shiftleft("u", 32).bitwiseOR(F.col("v")).alias("eid"), "u", "v", "w"))
+def _with_id(edges: DataFrame, ends: DataFrame) -> Graph:
+    """The id follows (u, v): both in one number where all ``ends`` (u, v) fit, which needs no sort, else their place in a sort."""
+    least_u, most_u, least_v, most_v = ends.agg(F.min("u"), F.max("u"), F.min("v"), F.max("v")).first()
+    fits = least_u is None or least_v is None or -1 << 31 <= least_u and most_u < 1 << 31 and least_v >= 0 and most_v < 1 << 32
+    return Graph.from_edges(edges.withColumn("eid", F.shiftleft("u", 32).bitwiseOR(F.col("v"))) if fits else dense_ids(edges, "u", "v"))
 
 
 def supply(spark: SparkSession, sf_dir: str, kind: str = "supply") -> Graph:
@@ -211,7 +213,7 @@ def supply(spark: SparkSession, sf_dir: str, kind: str = "supply") -> Graph:
     weights = {"supply_price": F.round(F.col("l_extendedprice") * 100).cast("long"), "supply_double": F.col("l_extendedprice"), "supply_negative": -F.col("l_linenumber").cast("long")}
     w = weights.get(kind, F.col("l_linenumber").cast("long"))
     ends = lines.select((F.col("l_suppkey") + apart).alias("u"), (F.col("l_partkey") + apart + 1000000).alias("v"), w.alias("w"))
-    return _with_id(ends.groupBy("u", "v").agg(F.min("w").alias("w")))
+    return _with_id(ends.groupBy("u", "v").agg(F.min("w").alias("w")), ends)
 
 
 def geography(spark: SparkSession, sf_dir: str) -> Graph:
@@ -221,4 +223,4 @@ def geography(spark: SparkSession, sf_dir: str) -> Graph:
     edges = nation.select(long("n_regionkey").alias("u"), (long("n_nationkey") + 100).alias("v"), (long("n_nationkey") % 7 + 1).alias("w"))
     edges = edges.unionByName(supplier.select((long("s_nationkey") + 100).alias("u"), (long("s_suppkey") + 1000000).alias("v"), (long("s_suppkey") % 11 + 1).alias("w")))
     edges = edges.unionByName(customer.select((long("c_nationkey") + 100).alias("u"), (long("c_custkey") + 2000000000).alias("v"), (long("c_custkey") % 13 + 1).alias("w")))
-    return _with_id(edges)
+    return _with_id(edges, edges)
